@@ -6,6 +6,8 @@ import importlib
 
 MODULES = (
     "cell_queries",
+    "series_queries",
+    "metric_queries",
 )
 
 

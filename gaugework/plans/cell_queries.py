@@ -45,7 +45,7 @@ def weighted_rank(spark, sf):
 @query(
     "view_ranks",
     """
-    WITH per AS (SELECT p_brand, p_type, l_suppkey, median(l_extendedprice / l_quantity) AS v,
+    WITH per AS (SELECT p_brand, p_type, l_suppkey, median(l_extendedprice * (1 - l_discount)) AS v,
                         count(*) AS n
                  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
     cell AS (SELECT p_brand, p_type, median(v) AS value, count(*) AS contributors,
@@ -62,10 +62,10 @@ def view_ranks(spark, sf):
         F.col("p_type").alias("view_id"),
         F.col("p_brand").alias("cell_id"),
         F.col("l_suppkey").alias("contributor"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"),
     )
     cell = ["view_id", "cell_id"]
-    medians = cells.contributor_medians(runs, cell, "contributor", "unit_price")
+    medians = cells.contributor_medians(runs, cell, "contributor", "net_price")
     weighted = cells.weighted_cells(medians, cell).withColumn("value", r6("value"))
     return cells.rank_cells(weighted, ["view_id"], "value", True, ["cell_id"]).withColumn(
         "rank", big("rank")
