@@ -8,6 +8,9 @@ MODULES = (
     "cell_queries",
     "series_queries",
     "metric_queries",
+    "integrity_queries",
+    "eligibility_queries",
+    "decision_queries",
 )
 
 
