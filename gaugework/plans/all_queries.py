@@ -11,6 +11,7 @@ MODULES = (
     "integrity_queries",
     "eligibility_queries",
     "decision_queries",
+    "publish_queries",
 )
 
 
