@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from gaugework.rules import SEPARATOR_CONTROLS, WHITE_SPACE
 
@@ -22,6 +22,13 @@ def nfkc_casefold(texts: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_casefold_each(lists: pd.Series) -> pd.Series:
+    """The same for every text of an array column."""
+    fold = lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold()
+    return lists.map(lambda texts: None if texts is None else [fold(t) for t in texts])
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE_RUN, " "))
 
@@ -36,6 +43,17 @@ def normalized_text(text: Column) -> Column:
     return collapse_space(F.coalesce(nfkc_casefold(foreign), F.lower(text)))
 
 
+def normalized_texts(texts: Column) -> Column:
+    """Normalised array of texts; only arrays with a non-ASCII text go to Python."""
+    foreign = F.exists(
+        texts, lambda t: F.coalesce(t.rlike(r"[^\x{00}-\x{7F}]"), F.lit(False))
+    )
+    folded = F.coalesce(
+        nfkc_casefold_each(F.when(foreign, texts)), F.transform(texts, lambda t: F.lower(t))
+    )
+    return F.transform(folded, collapse_space)
+
+
 def ascii_normalized_text(text: Column) -> Column:
     return collapse_space(F.lower(text))
 
