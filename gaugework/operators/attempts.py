@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugework import rules
 from gaugework.functions.numbers import percent_change, reasons
 from gaugework.functions.text import is_renderable
+from gaugework.operators.conformance import let
 from gaugework.operators.metrics import attempt_values
 
 
@@ -56,8 +57,14 @@ def series_inconsistent(attempt: Column, maximum_probes: int) -> Column:
     received = F.transform(events, lambda e: e["receivedNanoseconds"])
     probes = F.filter(events, _inspected)
     shown = F.transform(events, lambda e: F.coalesce(_inspected(e) & e["isRenderable"], F.lit(False)))
-    first_shown = F.array_position(shown, True)
-    later_probes = F.filter(events, lambda e, i: (i >= first_shown) & _inspected(e))
+    # One value, so that it is not searched again for every event.
+    probed_later = let(
+        F.array_position(shown, True).cast("int"),
+        lambda first: (first > 0)
+        & F.exists(
+            F.transform(events, lambda e, i: (i >= first) & _inspected(e)), lambda late: late
+        ),
+    )
     probe_wrong = F.exists(
         probes,
         lambda e: (e["decodedAtNanoseconds"] < e["receivedNanoseconds"])
@@ -91,7 +98,7 @@ def series_inconsistent(attempt: Column, maximum_probes: int) -> Column:
         ~clock["requestAcceptedNanoseconds"].eqNullSafe(0),
         ~_all_true(F.transform(events, lambda e, i: e["index"] == i)),
         F.exists(events, lambda e: ~_inspected(e) & ~_untouched(e)),
-        (first_shown > 0) & (F.size(later_probes) > 0),
+        probed_later,
         probe_wrong,
         F.size(probes) > maximum_probes,
         ~_in_order(received),

@@ -1,8 +1,8 @@
 """Schema conformance as a table of (path, keyword, argument) constraints.
 
-The closed schemas are flattened once on the driver into constraint rows; each
-row becomes one predicate over the parsed document, so a scan checks every
-document in one pass without a Python worker.
+The closed schemas are flattened once on the driver into constraint rows.  The
+rows of one document node are bound together, so a scan reads every node of a
+document once, in one pass and without a Python worker.
 """
 
 from __future__ import annotations
@@ -33,103 +33,155 @@ def _text(argument: Any) -> str:
     return json.dumps(argument, separators=(",", ":"), ensure_ascii=False)
 
 
-def _type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times inside `body`."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _as(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
+def _tree(constraints: Sequence[Constraint]) -> dict:
+    """Constraints by document node, so that every node is read once."""
+    root: dict = {"rows": [], "fields": {}, "items": None, "at": {}}
+    new = lambda: {"rows": [], "fields": {}, "items": None, "at": {}}
+    for path, keyword, argument in constraints:
+        node = root
+        for step in path.split(".") if path else []:
+            name, *indexes = step.replace("]", "").split("[")
+            if name:
+                node = node["fields"].setdefault(name, new())
+            for index in indexes:
+                if index == "*":
+                    node["items"] = node["items"] or new()
+                    node = node["items"]
+                else:
+                    node = node["at"].setdefault(int(index), new())
+        node["rows"].append((keyword, argument))
+    return root
+
+
+_OBJECT_KEYWORDS = {"required", "additionalProperties", "propertyNames", "minProperties"}
+_ARRAY_KEYWORDS = {"minItems", "maxItems", "uniqueItems"}
+
+
+def _names(rows, keyword="type") -> set[str]:
+    found: set[str] = set()
+    for k, argument in rows:
+        if k == keyword:
+            found |= {argument} if isinstance(argument, str) else set(argument)
+    return found
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _is_type(value: Column, name: str) -> Column:
-    kind = _type(value)
-    if name == "object":
-        return kind.startswith("OBJECT")
-    if name == "array":
-        return kind.startswith("ARRAY")
-    if name == "number":
-        return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return kind == _TYPE_NAMES[name]
+def _quoted(texts) -> str:
+    return ", ".join(_quote(t) for t in texts)
 
 
-def _keys(value: Column) -> Column:
-    return F.json_object_keys(F.when(_is_type(value, "object"), F.to_json(value)))
+def _bind(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    result = F.lit(False)
-    for condition in conditions:
-        result = result | F.coalesce(condition, F.lit(False))
-    return result
+_NO_MESSAGES = "cast(array() AS array<string>)"
 
 
-def _violates(value: Column, keyword: str, argument: Any) -> Column:
-    """True when the present value breaks the keyword."""
+def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any, depth: int) -> str:
+    """SQL that is true when a present value breaks the keyword.
+
+    `fields` is the value as a map when it is an object, `entries` as an array
+    when it is one; otherwise they are null.
+    """
+    kind = f"schema_of_variant({value})"
+    numeric = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
     if keyword == "type":
-        names = [argument] if isinstance(argument, str) else argument
-        return ~_any([_is_type(value, n) for n in names])
+        fits = []
+        for name in [argument] if isinstance(argument, str) else argument:
+            if name == "object":
+                fits.append(f"{fields} IS NOT NULL")
+            elif name == "array":
+                fits.append(f"{entries} IS NOT NULL")
+            elif name == "number":
+                fits.append(numeric)
+            else:
+                fits.append(f"{kind} = {_quote(_TYPE_NAMES[name])}")
+        return f"NOT ({' OR '.join(fits)})"
     if keyword == "const":
-        return F.to_json(value) != _text(argument)
+        return f"to_json({value}) <> {_quote(_text(argument))}"
     if keyword == "enum":
-        texts = [_text(a) for a in argument]
-        return ~F.to_json(value).isin(texts)
+        return f"to_json({value}) NOT IN ({_quoted(_text(a) for a in argument)})"
     if keyword == "required":
-        return _is_type(value, "object") & F.try_variant_get(
-            value, f"$.{argument}", "variant"
-        ).isNull()
+        return f"NOT map_contains_key({fields}, {_quote(argument)})"
     if keyword == "additionalProperties":
-        return F.size(F.array_except(_keys(value), F.array(*[F.lit(a) for a in argument]))) > 0
+        known = f"array({_quoted(argument)})" if argument else _NO_MESSAGES
+        return f"size(array_except(map_keys({fields}), {known})) > 0"
     if keyword == "propertyNames":
-        return F.exists(_keys(value), lambda k: ~k.rlike(argument))
+        return f"exists(map_keys({fields}), k{depth} -> NOT k{depth} RLIKE {_quote(argument)})"
     if keyword == "minProperties":
-        return F.size(_keys(value)) < argument
+        return f"size(map_keys({fields})) < {argument}"
     if keyword in ("minimum", "maximum", "exclusiveMinimum"):
-        number = F.when(_is_type(value, "number"), _as(value, "double"))
-        if keyword == "minimum":
-            return number < argument
-        return number > argument if keyword == "maximum" else number <= argument
-    text = F.when(_is_type(value, "string"), _as(value, "string"))
-    if keyword == "minLength":
-        return F.length(text) < argument
-    if keyword == "pattern":
-        return ~text.rlike(argument)
-    if keyword == "format":
-        return ~text.rlike(FORMATS[argument])
-    entries = F.when(_is_type(value, "array"), _as(value, "array<variant>"))
-    if keyword == "minItems":
-        return F.size(entries) < argument
-    if keyword == "maxItems":
-        return F.size(entries) > argument
+        sign = {"minimum": "<", "maximum": ">", "exclusiveMinimum": "<="}[keyword]
+        number = f"CASE WHEN {numeric} THEN try_variant_get({value}, '$', 'double') END"
+        return f"{number} {sign} {argument}"
+    if keyword in ("minLength", "pattern", "format"):
+        text = f"CASE WHEN {kind} = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
+        if keyword == "minLength":
+            return f"length({text}) < {argument}"
+        pattern = argument if keyword == "pattern" else FORMATS[argument]
+        return f"NOT {text} RLIKE {_quote(pattern)}"
+    if keyword in ("minItems", "maxItems"):
+        sign = "<" if keyword == "minItems" else ">"
+        return f"{entries} IS NOT NULL AND size({entries}) {sign} {argument}"
     if keyword == "uniqueItems":
-        texts = F.transform(entries, lambda e: F.to_json(e))
-        return F.size(F.array_distinct(texts)) < F.size(entries)
+        texts = f"transform({entries}, e{depth} -> to_json(e{depth}))"
+        return f"size(array_distinct({texts})) < size({entries})"
+    broken = lambda rows: f"(size({_messages(value, _tree(rows), '', depth + 1)}) > 0)"
     if keyword == "allOf":
-        return _any([_broken(value, rows) for rows in argument])
+        return " OR ".join(broken(rows) for rows in argument)
     if keyword == "oneOf":
-        fitting = sum((~_broken(value, rows)).cast("int") for rows in argument)
-        return fitting != 1
+        return " + ".join(f"cast(NOT {broken(rows)} AS int)" for rows in argument) + " <> 1"
     if keyword == "if":
         condition, then, otherwise = argument
-        holds = ~_broken(value, condition)
-        return F.when(holds, _broken(value, then)).otherwise(_broken(value, otherwise))
+        return f"CASE WHEN NOT {broken(condition)} THEN {broken(then)} ELSE {broken(otherwise)} END"
     raise ValueError(f"unsupported keyword {keyword}")
 
 
-def _at(value: Column, path: list[str], keyword: str, argument: Any) -> Column:
-    if not path:
-        return F.coalesce(_violates(value, keyword, argument), F.lit(False))
-    step, rest = path[0], path[1:]
-    if step.endswith("[*]"):
-        entries = F.try_variant_get(value, f"$.{step[:-3]}", "array<variant>")
-        return F.coalesce(
-            F.exists(entries, lambda e: _at(e, rest, keyword, argument)), F.lit(False)
-        )
-    child = F.try_variant_get(value, f"$.{step}", "variant")
-    return child.isNotNull() & _at(child, rest, keyword, argument)
-
-
-def _broken(value: Column, constraints: Sequence[Constraint]) -> Column:
-    return _any([_at(value, p.split(".") if p else [], k, a) for p, k, a in constraints])
+def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
+    """SQL for the messages of one present node and everything below it."""
+    rows, keywords = node["rows"], {k for k, _ in node["rows"]}
+    types = _names(rows)
+    is_object = bool(node["fields"]) or "object" in types or bool(keywords & _OBJECT_KEYWORDS)
+    is_array = (
+        bool(node["items"] or node["at"]) or "array" in types or bool(keywords & _ARRAY_KEYWORDS)
+    )
+    fields = f"f{depth}" if is_object else "cast(NULL AS map<string,variant>)"
+    entries = f"a{depth}" if is_array else "cast(NULL AS array<variant>)"
+    own = [
+        f"CASE WHEN {_violates(value, fields, entries, k, a, depth)} THEN "
+        + _quote(f"{path}: {k}" + (f" {a}" if k == "required" else ""))
+        + " END"
+        for k, a in rows
+    ]
+    parts = [f"array_compact(array({', '.join(own)}))"] if own else []
+    item = f"v{depth}"
+    below = lambda child, where: (
+        f"CASE WHEN {item} IS NOT NULL THEN {_messages(item, child, where, depth + 1)} "
+        f"ELSE {_NO_MESSAGES} END"
+    )
+    for name, child in node["fields"].items():
+        inner = f"try_element_at({fields}, {_quote(name)})"
+        parts.append(_bind(inner, item, below(child, f"{path}.{name}")))
+    for index, child in node["at"].items():
+        inner = f"get({entries}, {index})"
+        parts.append(_bind(inner, item, below(child, f"{path}[{index}]")))
+    if node["items"]:
+        each = f"transform({entries}, {item} -> {below(node['items'], path + '[*]')})"
+        parts.append(f"coalesce(array_distinct(flatten({each})), {_NO_MESSAGES})")
+    found = f"concat({', '.join(parts)})" if parts else _NO_MESSAGES
+    if is_array:
+        found = _bind(f"try_variant_get({value}, '$', 'array<variant>')", entries, found)
+    if is_object:
+        found = _bind(f"try_variant_get({value}, '$', 'map<string,variant>')", fields, found)
+    return found
 
 
 def constraints_of(schema: dict, root: dict | None = None, path: str = "") -> list[Constraint]:
@@ -172,14 +224,9 @@ def constraints_of(schema: dict, root: dict | None = None, path: str = "") -> li
     return rows
 
 
-def conformance_reasons(document: Column, constraints: Sequence[Constraint]) -> Column:
-    """Array of "path: keyword" messages, in constraint order, for one parsed document."""
-    found = []
-    for path, keyword, argument in constraints:
-        broken = _at(document, path.split(".") if path else [], keyword, argument)
-        detail = f" {argument}" if keyword == "required" else ""
-        found.append(F.when(broken, F.lit(f"{'$.' + path if path else '$'}: {keyword}{detail}")))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def conformance_reasons(document: str, constraints: Sequence[Constraint]) -> Column:
+    """Array of "path: keyword" messages for one parsed document column (variant)."""
+    return F.expr(f"array_distinct({_messages(document, _tree(constraints), '$')})")
 
 
 def conformance_rows(
@@ -187,8 +234,8 @@ def conformance_rows(
 ) -> DataFrame:
     """(keys, message) rows; text that is no JSON object gets one message of its own."""
     parsed = df.select(*keys, F.try_parse_json(text).alias("_d"))
-    is_object = F.coalesce(_is_type(F.col("_d"), "object"), F.lit(False))
+    is_object = F.try_variant_get(F.col("_d"), "$", "map<string,variant>").isNotNull()
     messages = F.when(~is_object, F.array(F.lit("$: not a JSON object"))).otherwise(
-        conformance_reasons(F.col("_d"), constraints)
+        conformance_reasons("_d", constraints)
     )
     return parsed.select(*keys, F.explode(messages).alias("message"))

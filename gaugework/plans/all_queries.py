@@ -12,6 +12,7 @@ MODULES = (
     "eligibility_queries",
     "decision_queries",
     "publish_queries",
+    "package_queries",
 )
 
 

@@ -29,6 +29,7 @@ from gaugework.operators.hot_keys import lookup
 from gaugework.operators.integrity import fixed_rows
 from gaugework.operators.metrics import metric_status
 from gaugework.operators.ordered import number_rows
+from gaugework.session import materialize
 
 NO_CODES = "array<string>"
 
@@ -76,31 +77,32 @@ def parse_packages(packages: DataFrame) -> DataFrame:
         "*",
         F.from_json("submission_text", schemas.SUBMISSION).alias("s"),
         F.from_json("result_text", schemas.RESULT).alias("r"),
+        F.try_parse_json("submission_text").alias("submission_doc"),
+        F.try_parse_json("result_text").alias("result_doc"),
     )
 
 
 def _structural(trusted: Trusted) -> Column:
     s, r = F.col("s"), F.col("r")
-    document = lambda c: F.try_parse_json(c)
     broken = lambda c, schema: F.size(
-        conformance_reasons(document(c), constraints_of(schema))
+        conformance_reasons(c, constraints_of(schema))
     ) > 0
-    is_object = lambda c: F.coalesce(F.ltrim(F.col(c)).startswith("{"), F.lit(False)) & F.coalesce(
-        document(c).isNotNull(), F.lit(False)
-    )
+    is_object = lambda c: F.try_variant_get(
+        F.col(c), "$", "map<string,variant>"
+    ).isNotNull()
     submission_known = s["schemaVersion"].eqNullSafe(schemas.SUBMISSION_VERSION)
     result_known = r["schemaVersion"].eqNullSafe(schemas.RESULT_VERSION)
     return reasons(
         (~F.col("file_set_valid"), "submission-package-file-set-invalid"),
-        (~is_object("submission_text"), "invalid-submission-schema"),
-        (~is_object("result_text"), "invalid-envelope"),
+        (~is_object("submission_doc"), "invalid-submission-schema"),
+        (~is_object("result_doc"), "invalid-envelope"),
         (~submission_known, "unsupported-major-version"),
         (
-            submission_known & broken("submission_text", trusted.submission_schema),
+            submission_known & broken("submission_doc", trusted.submission_schema),
             "invalid-submission-schema",
         ),
         (~result_known, "unsupported-major-version"),
-        (result_known & broken("result_text", trusted.result_schema), "invalid-envelope"),
+        (result_known & broken("result_doc", trusted.result_schema), "invalid-envelope"),
     )
 
 
@@ -222,10 +224,9 @@ def _app(trusted: Trusted) -> Column:
     return reasons((~same, "app-release-not-supported"))
 
 
-def _metric_decisions(trusted: Trusted) -> Column:
-    r = F.col("r")
-    environment = r["environment"]
-    target = F.when(
+def _target_reasons(trusted: Trusted) -> Column:
+    environment = F.col("r")["environment"]
+    return F.when(
         environment.isNull(), F.array(F.lit("target-environment-ineligible"))
     ).otherwise(
         eligibility.admission_reasons(
@@ -237,13 +238,18 @@ def _metric_decisions(trusted: Trusted) -> Column:
             trusted.admission,
         )
     )
+
+
+def _metric_decisions() -> Column:
+    r = F.col("r")
     rows = []
-    for metric, values in attempt_ops.metric_series(F.col("measured")).items():
+    for metric, _, _, _ in rules.METRICS:
+        values = F.col("series")[metric]
         status, codes = metric_status(
             F.lit(metric),
             r["payload"]["workload"]["id"],
             F.size("contract") == 0,
-            target,
+            F.col("target_reasons"),
             F.size(values),
         )
         rows.append(
@@ -259,8 +265,7 @@ def _metric_decisions(trusted: Trusted) -> Column:
 
 def _behaviour() -> tuple[Column, Column, Column]:
     """Behaviour status, its reasons, and the recommendation status."""
-    statuses = F.transform(F.col("texts"), lambda t: behaviour.response_status(t))
-    number = lambda s: F.size(F.filter(statuses, lambda x: x == s))
+    number = lambda s: F.size(F.filter(F.col("responses"), lambda x: x == s))
     voted = behaviour.vote_status(
         number("verified"), number("contradicted"), rules.MINIMUM_ELIGIBLE_ATTEMPTS
     )
@@ -347,7 +352,13 @@ def decide(
         attempt_ops.counted(F.col("r")["payload"]["attempts"]).alias("measured"),
     )
     texts = normalized_texts(F.transform(F.col("measured"), lambda a: a["generatedText"]))
-    with_texts = with_contract.select("*", texts.alias("texts"))
+    series = attempt_ops.metric_series(F.col("measured"))
+    with_texts = with_contract.select(
+        "*",
+        F.struct(*[v.alias(m) for m, v in series.items()]).alias("series"),
+        F.transform(texts, lambda t: behaviour.response_status(t)).alias("responses"),
+        _target_reasons(trusted).alias("target_reasons"),
+    )
     login = F.col("s")["contributor"]["githubLogin"]
     author_status, author_reason = integrity.author_check(login, F.col("author"))
     behaviour_status, behaviour_codes, recommendation = _behaviour()
@@ -406,7 +417,7 @@ def decide(
         behaviour_status.alias("behaviour"),
         behaviour_codes.alias("behaviour_reasons"),
         recommendation.alias("recommendation"),
-        _metric_decisions(trusted).alias("metrics"),
+        _metric_decisions().alias("metrics"),
         comparison_identity().alias("identity_json"),
     )
 
@@ -467,3 +478,19 @@ def excluded(decided: DataFrame) -> DataFrame:
     return decided.where("classification <> 'auto-accept'").select(
         "submission_id", "result_sha256", "classification", "reason_codes"
     )
+
+
+def rank_packages(
+    packages: DataFrame,
+    models: DataFrame,
+    trusted: Trusted,
+    accepted_digests: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(decisions, ranked views).
+
+    The decisions are materialized once: they are small next to the documents,
+    several tables are built from them, and a filter on the classification
+    must not be pushed down into the checks, which would run them twice.
+    """
+    decided = materialize(decide(packages, models, trusted, accepted_digests))
+    return decided, ranked_views(contributions(decided))

@@ -29,8 +29,8 @@ def build_session(name: str = "gaugework", cores: int | str = "*") -> SparkSessi
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Bytes all scans below this plan may read, from the optimizer's statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Bytes all scans below this plan may read, from the statistics of its leaves."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(
         int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
     )
