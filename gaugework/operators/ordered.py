@@ -6,8 +6,8 @@ window over a hot key would sort a third of the data in one task, so the same
 answers are computed from ordered slices: a range shuffle on (key, order) cuts
 even a single key into bounded slices, each slice is summarised to one row,
 the summaries of the earlier slices are carried into every slice, and the
-window then runs inside (key, slice).  The slice label is checkpointed because
-a recomputed range shuffle may cut elsewhere.
+window then runs inside (key, slice).  The labelled rows are written to a table
+first because a recomputed range shuffle may cut elsewhere.
 """
 
 from __future__ import annotations
@@ -141,6 +141,38 @@ def previous_values(
     )
 
 
+def _windowed_percentiles(df, keys, value, fractions, also) -> DataFrame:
+    """One sort per key; spills like any window and needs no buffer per group."""
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    ranked = df.withColumn(
+        "_rank", F.row_number().over(group.orderBy(F.asc_nulls_last(value))) - 1
+    ).withColumn("_all", F.count(value).over(group))
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value).cast("double")))
+    position = lambda f: f * (F.col("_all") - 1)
+    found = ranked.groupBy(*keys).agg(
+        F.max("_all").alias("_all"),
+        *[at(F.floor(position(f))).alias(f"_lo_{n}") for n, f in fractions.items()],
+        *[at(F.ceil(position(f))).alias(f"_hi_{n}") for n, f in fractions.items()],
+        *also,
+    )
+    inner = {"_all", *[f"_{end}_{n}" for n in fractions for end in ("lo", "hi")]}
+    return _interpolated(
+        found, keys, fractions, [c for c in found.columns if c not in inner and c not in keys]
+    )
+
+
+def _interpolated(found, keys, fractions, columns) -> DataFrame:
+    names = []
+    for n, fraction in fractions.items():
+        position = fraction * (F.col("_all") - 1)
+        share = position - F.floor(position)
+        low, high = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
+        names.append(
+            F.when(share == 0, low).otherwise(low * (1 - share) + high * share).alias(n)
+        )
+    return found.select(*keys, *names, *columns)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -154,10 +186,7 @@ def exact_percentiles(
     takes further aliased aggregates (mergeable ones: count, sum, max_by, ...).
     """
     if fits_one_task(df):
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, fraction).alias(n) for n, fraction in fractions.items()],
-            *also,
-        )
+        return _windowed_percentiles(df, keys, value, fractions, also)
     number = F.col(value).cast("double")
     counted = df.groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_n"))
     present = counted.where(F.col("_v").isNotNull())
@@ -192,15 +221,7 @@ def exact_percentiles(
     for n, (low, high) in ranks.items():
         aggregates += [at(low).alias(f"_lo_{n}"), at(high).alias(f"_hi_{n}")]
     found = picked.groupBy(*keys).agg(*aggregates)
-    interpolated = []
-    for n, fraction in fractions.items():
-        position = fraction * (F.col("_all") - 1)
-        low, high = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
-        share = position - F.floor(position)
-        interpolated.append(
-            F.when(share == 0, low).otherwise(low * (1 - share) + high * share).alias(n)
-        )
-    result = found.select(*keys, *interpolated)
+    result = _interpolated(found, keys, fractions, [])
     # Keys without any value, and the further aggregates, come from one more
     # map-side combined aggregation.
     rest = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *also)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +72,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and fixes computed labels."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows once to a table in the shared folder and read them back.
+
+    The plan is computed a single time, survives executor loss, keeps labels
+    that a recomputation might choose differently, and later reads are
+    columnar.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
