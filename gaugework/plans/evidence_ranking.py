@@ -447,20 +447,26 @@ def contributions(decided: DataFrame) -> DataFrame:
 
 def ranked_views(contributed: DataFrame) -> DataFrame:
     """The primary metric of every view: weighted value, state, rank."""
-    spark = contributed.sparkSession
+    cell = ["comparison_id", "workload_id", "metric_id"]
+    medians = cells.contributor_medians(contributed, cell, "contributor_key", "value")
+    return rank_views(cells.weighted_cells(medians, cell))
+
+
+def rank_views(weighted: DataFrame) -> DataFrame:
+    """Ranks per view from cell values.
+
+    weighted: comparison_id, workload_id, metric_id, value, contributors, runs.
+    """
     direction = {m: d for m, _, d, _ in rules.METRICS}
     views = fixed_rows(
-        spark,
+        weighted.sparkSession,
         ["view_id", "workload_id", "metric_id", "_sign"],
         [(v, w, m, 1.0 if direction[m] == "lower-is-better" else -1.0) for v, w, m in rules.VIEWS],
     )
-    rows = contributed.join(views, ["workload_id", "metric_id"])
-    cell = ["view_id", "metric_id", "comparison_id", "_sign"]
-    medians = cells.contributor_medians(rows, cell, "contributor_key", "value")
-    weighted = cells.weighted_cells(medians, cell).withColumn(
+    rows = weighted.join(views, ["workload_id", "metric_id"]).withColumn(
         "_order", F.col("_sign") * F.col("value")
     )
-    ranked = cells.rank_cells(weighted, ["view_id"], "_order", False, ["comparison_id"])
+    ranked = cells.rank_cells(rows, ["view_id"], "_order", False, ["comparison_id"])
     return ranked.select(
         "view_id",
         "comparison_id",
