@@ -109,8 +109,6 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
         return f"to_json({value}) <> {_quote(_text(argument))}"
     if keyword == "enum":
         return f"to_json({value}) NOT IN ({_quoted(_text(a) for a in argument)})"
-    if keyword == "required":
-        return f"NOT map_contains_key({fields}, {_quote(argument)})"
     if keyword == "additionalProperties":
         known = f"array({_quoted(argument)})" if argument else _NO_MESSAGES
         return f"size(array_except(map_keys({fields}), {known})) > 0"
@@ -157,11 +155,17 @@ def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
     entries = f"a{depth}" if is_array else "cast(NULL AS array<variant>)"
     own = [
         f"CASE WHEN {_violates(value, fields, entries, k, a, depth)} THEN "
-        + _quote(f"{path}: {k}" + (f" {a}" if k == "required" else ""))
+        + _quote(f"{path}: {k}")
         + " END"
         for k, a in rows
+        if k != "required"
     ]
     parts = [f"array_compact(array({', '.join(own)}))"] if own else []
+    needed = [a for k, a in rows if k == "required"]
+    if needed:  # one set difference for all required keys of the object
+        missing = f"array_except(array({_quoted(needed)}), map_keys({fields}))"
+        text = f"concat({_quote(f'{path}: required ')}, n{depth})"
+        parts.append(f"coalesce(transform({missing}, n{depth} -> {text}), {_NO_MESSAGES})")
     item = f"v{depth}"
     below = lambda child, where: (
         f"CASE WHEN {item} IS NOT NULL THEN {_messages(item, child, where, depth + 1)} "
