@@ -13,6 +13,7 @@ MODULES = (
     "decision_queries",
     "publish_queries",
     "package_queries",
+    "source_queries",
 )
 
 

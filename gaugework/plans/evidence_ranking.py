@@ -423,15 +423,20 @@ def decide(
 
 
 def contributions(decided: DataFrame) -> DataFrame:
-    """Accepted packages, one row per passing metric with a value."""
-    accepted = decided.where("classification = 'auto-accept'").select(
+    """Accepted packages, one row per passing metric with a value.
+
+    The class is tested inside the explode, not in a filter, which would be
+    pushed below the projections and evaluate all checks a second time.
+    """
+    usable = F.when(F.col("classification") == "auto-accept", F.col("metrics"))
+    accepted = decided.select(
         "package_id",
         "result_sha256",
         "workload_id",
         "contributor",
         F.lower("contributor").alias("contributor_key"),
         canonical_json_sha256(F.col("identity_json")).alias("comparison_id"),
-        F.explode("metrics").alias("m"),
+        F.explode(usable).alias("m"),
     )
     return accepted.where("m.status = 'pass' AND m.value IS NOT NULL").select(
         "package_id",

@@ -159,9 +159,8 @@ def test_contributor_states_and_identity(spark, tmp_path):
     for i, login in enumerate(logins):
         builders.write_package(tmp_path, i, builders.result(i + 1), login)
     packages = source.with_declared_author(source.read_packages(spark, str(tmp_path)))
-    frame = ranking.decide(packages, builders.models(spark), builders.trusted())
-    contributed = ranking.contributions(frame)
-    rows = ranking.ranked_views(contributed).collect()
+    _, views = ranking.rank_packages(packages, builders.models(spark), builders.trusted())
+    rows = views.collect()
     assert len(rows) == 1
     row = rows[0]
     assert (row.contributor_count, row.submission_count) == (3, 4)
