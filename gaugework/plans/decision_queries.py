@@ -16,6 +16,7 @@ from gaugework.functions.text import (
 from gaugework.operators import behaviour, decisions, labels
 from gaugework.operators.integrity import fixed_rows
 from gaugework.plans.registry import Tables, big, query
+from gaugework.session import spread
 
 _CHECKED = """
     WITH c AS (SELECT d.doc_id, d.source, n_chars < 100 AS too_short, lang NOT IN ('en', 'de', 'fr') AS lang_bad,
@@ -245,7 +246,7 @@ def behaviour_votes(spark, sf):
 )
 def policy_votes(spark, sf):
     """Hits of the fixed policy terms and answer facts over whole documents."""
-    docs = Tables(spark, sf).documents.select(
+    docs = spread(Tables(spark, sf).documents.select("doc_id", "source", "text"), "doc_id").select(
         "source", ascii_normalized_text(F.col("text")).alias("t")
     )
     words = word_set(F.col("t"))
@@ -418,7 +419,7 @@ def case_problems(spark, sf):
 @query("nfkc_text")
 def nfkc_text(spark, sf):
     """Documents by digest of their normalised text; normalisation is not SQL."""
-    docs = Tables(spark, sf).documents.select(
+    docs = spread(Tables(spark, sf).documents.select("doc_id", "source", "text"), "doc_id").select(
         "source", F.sha2(normalized_text(F.col("text")), 256).alias("digest")
     )
     return docs.groupBy("source").agg(

@@ -10,6 +10,7 @@ from gaugework.plans import evidence_ranking as ranking
 from gaugework.plans.package_queries import derived_packages
 from gaugework.plans.registry import Tables, query
 from gaugework.plans.triage import scope, triage
+from gaugework.session import spread
 from gaugework.sources import tables
 from gaugework.sources.packages import check_embedded
 from gaugework.sources.sinks import split_append
@@ -106,7 +107,8 @@ def embedded_result(spark, sf):
         )
     )
     wrong = lambda n, value: F.when(doc % n == 0, F.lit("x")).otherwise(value)
-    rows = Tables(spark, sf).documents.withColumn("inner", inner).select(
+    docs = spread(Tables(spark, sf).documents.drop("n_chars"), "doc_id")
+    rows = docs.withColumn("inner", inner).select(
         doc.alias("submission_id"),
         F.when(doc % 13 == 0, "hex").otherwise("base64-json").alias("encoding"),
         F.lit("sha256").alias("digest_algorithm"),

@@ -47,6 +47,17 @@ def fits_one_task(df: DataFrame) -> bool:
     return scanned_bytes(df) <= limit
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input to all cores before costly per-row work.
+
+    A small file is often one row group and so one task.  Large inputs come in
+    many splits already and are left as they are, without a shuffle.
+    """
+    if not fits_one_task(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def slice_count(df: DataFrame) -> int:
     """Number of ordered slices: one per BYTES_PER_SLICE, at least the shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
