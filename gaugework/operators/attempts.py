@@ -26,7 +26,7 @@ def _all_true(flags: Column) -> Column:
     return F.forall(flags, lambda f: F.coalesce(f, F.lit(False)))
 
 
-def _in_order(times: Column, strictly: bool = False) -> Column:
+def in_order(times: Column, strictly: bool = False) -> Column:
     """Non-decreasing without nulls; strictly also forbids repeats."""
     plain = F.forall(times, lambda t: t.isNotNull()) & (times == F.array_sort(times))
     return plain & (F.size(F.array_distinct(times)) == F.size(times)) if strictly else plain
@@ -101,16 +101,16 @@ def series_inconsistent(attempt: Column, maximum_probes: int) -> Column:
         probed_later,
         probe_wrong,
         F.size(probes) > maximum_probes,
-        ~_in_order(received),
+        ~in_order(received),
         ~attempt["tokenCounts"]["output"].eqNullSafe(F.size(events)),
         ~clock["firstTokenNanoseconds"].eqNullSafe(F.try_element_at(received, F.lit(1))),
         ~clock["firstRenderableNanoseconds"].eqNullSafe(renderable_at),
         ~clock["decodeNanoseconds"].eqNullSafe(span),
         clock["completedNanoseconds"] < last,
-        ~_in_order(sample_times),
+        ~in_order(sample_times),
         F.exists(sample_bytes, lambda b: b.isNull()),
         ~memory["peakPhysicalFootprintBytes"].eqNullSafe(F.array_max(sample_bytes)),
-        ~_in_order(change_times),
+        ~in_order(change_times),
         ~thermal["end"].eqNullSafe(end_state),
     )
 

@@ -141,6 +141,15 @@ def previous_values(
     )
 
 
+def beside(*single_rows: DataFrame) -> DataFrame:
+    """One row out of several one-row frames with different columns, without a join."""
+    columns = [c for frame in single_rows for c in frame.columns]
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows
+    )
+    return stacked.agg(*[F.max(c).alias(c) for c in columns])
+
+
 def _windowed_percentiles(df, keys, value, fractions, also) -> DataFrame:
     """One sort per key; spills like any window and needs no buffer per group."""
     group = Window.partitionBy(*keys) if keys else Window.partitionBy()
@@ -226,7 +235,7 @@ def exact_percentiles(
     # map-side combined aggregation.
     rest = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *also)
     if not keys:
-        return rest.join(result, F.lit(True), "left").drop("_rows")
+        return beside(rest.drop("_rows"), result)
     renamed = result.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *fractions)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys])
     extras = [c for c in rest.columns if c not in (*keys, "_rows")]

@@ -16,8 +16,8 @@ from gaugework import rules
 from gaugework.functions.numbers import BYTES_PER_MIB, close_enough, percent_change, reasons
 from gaugework.functions.text import is_renderable, normalized_texts
 from gaugework.operators import behaviour, eligibility
-from gaugework.operators.attempts import _in_order, array_median
-from gaugework.operators.conformance import let
+from gaugework.operators.attempts import array_median, in_order
+from gaugework.operators.integrity import first_approval
 
 # ---- fixed values: workloads, metric names, frozen configuration -----------
 SHORT = "b-ux-001-short-interaction"
@@ -121,7 +121,7 @@ def tokens_valid(attempt: Column) -> Column:
         & _all(
             F.transform(events, lambda e, i: (e["index"] == i) & e["tokenID"].isNotNull())
         )
-        & _in_order(F.transform(events, lambda e: e["elapsedNanoseconds"]))
+        & in_order(F.transform(events, lambda e: e["elapsedNanoseconds"]))
     )
 
 
@@ -129,7 +129,7 @@ def samples_valid(attempt: Column) -> Column:
     samples = attempt["memorySamples"]
     return _false(
         (F.size(samples) > 0)
-        & _in_order(F.transform(samples, lambda s: s["elapsedNanoseconds"]))
+        & in_order(F.transform(samples, lambda s: s["elapsedNanoseconds"]))
         & _all(F.transform(samples, lambda s: s["physicalFootprintBytes"] > 0))
     )
 
@@ -486,8 +486,6 @@ def match_runners(
     approvals: position, approval_id, the execution fields and runtime (JSON
     text with sorted keys).
     """
-    from gaugework.operators.integrity import first_approval
-
     execution = F.col("r")["execution"]
     keyed = results.select(
         "*",

@@ -14,7 +14,7 @@ from gaugework.functions.identity import (
 )
 from gaugework.operators import cells as cell_ops
 from gaugework.operators import decisions, integrity
-from gaugework.operators.ordered import first_rows, number_rows
+from gaugework.operators.ordered import beside, first_rows, number_rows
 from gaugework.operators.release_results import CHANGE_FIELD, METRICS, WORKLOADS, evaluate
 from gaugework.operators.release_results import legacy_values
 from gaugework.session import materialize
@@ -382,4 +382,4 @@ def totals(contributed: DataFrame, cells: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "reproduced").alias("reproduced"),
         F.count_if(F.col("aggregate_status") == "community-aggregate").alias("aggregates"),
     )
-    return left.join(right, F.lit(True))
+    return beside(left, right)

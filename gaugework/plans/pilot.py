@@ -16,8 +16,9 @@ from gaugework import rules
 from gaugework.functions.identity import canonical_json_sha256
 from gaugework.functions.numbers import close_enough, percent_change, reasons
 from gaugework.operators import cells, eligibility, integrity, publish
-from gaugework.operators.attempts import _in_order, array_median
+from gaugework.operators.attempts import array_median, in_order
 from gaugework.operators.conformance import let
+from gaugework.operators.ordered import beside
 from gaugework.session import materialize
 
 # ---- fixed values: schema versions, contracts, summary fields --------------
@@ -144,7 +145,7 @@ def attempt_reasons(attempt: Column) -> Column:
             "thermal-state-unsupported",
         ),
         (no(contiguous), "token-index-not-contiguous"),
-        (no(_in_order(times, strictly=True)), "token-times-not-increasing"),
+        (no(in_order(times, strictly=True)), "token-times-not-increasing"),
         (done & no(counted), "token-count-mismatch"),
         (differ, "metric-mismatch"),
     )
@@ -387,7 +388,7 @@ def report(normalized: DataFrame, rejected: DataFrame) -> DataFrame:
         F.count_if("eligible").alias("eligible"),
         F.count_if(~F.col("eligible")).alias("ineligible"),
     )
-    both = left.join(rejected.agg(F.count("*").alias("rejected")), F.lit(True))
+    both = beside(left, rejected.agg(F.count("*").alias("rejected")))
     return both.select((F.col("normalized") + F.col("rejected")).alias("input"), "*")
 
 

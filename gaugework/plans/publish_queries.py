@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from gaugework.functions.identity import engine_key, profile_slug, uuid5
 from gaugework.functions.numbers import joined, reasons
 from gaugework.operators import conformance, publish, reviews, scores
-from gaugework.operators.ordered import number_rows
-from gaugework.plans.registry import Tables, big, query, r6
+from gaugework.operators.ordered import beside, number_rows
+from gaugework.plans.registry import Tables, big, micros, query, r6
+from gaugework.streaming.live_metrics import session_summaries
 
 
 # ---- reviews ---------------------------------------------------------------
@@ -416,7 +417,7 @@ def evidence_totals(spark, sf):
     overall = lines.agg(
         F.count("*").alias("results"), F.countDistinct("l_suppkey").alias("contributors")
     )
-    return overall.join(totals, F.lit(True))
+    return beside(overall, totals)
 
 
 @query(
@@ -580,9 +581,6 @@ def filter_options(spark, sf):
 )
 def stream_sessions(spark, sf):
     """Per-attempt summaries of event sessions, the batch form of the live metrics."""
-    from gaugework.streaming.live_metrics import session_summaries
-    from gaugework.plans.registry import micros
-
     events = Tables(spark, sf).events.select(
         F.col("user_id").alias("attempt"), "ts", micros("ts").alias("at_us")
     )
