@@ -18,7 +18,7 @@ from gaugework.llm.vocabulary import Vocabulary, WordIds
 WINDOW = 1024
 END = 0
 # Tails that one index holds: about this many tokens, whatever the table's size.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 # Tokens of tails that one task packs, shard after shard.
 TASK_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
@@ -49,11 +49,12 @@ def _encoder(path: str) -> WordIds:
     )
 
 
-def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str, ids_too: bool) -> DataFrame:
     """One row a document: its windows that are full by themselves, and its tail.
 
-    (id, doc_tokens, crcs of the full windows, start, length and ids of the
-    tail, two keys that bring tails with common rare ids together).
+    (id, doc_tokens, the full windows' CRCs and, if wanted, ids, the tail's
+    start, length and ids, two keys that bring tails with common pairs of ids
+    together).
     """
 
     def make():
@@ -61,7 +62,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str
         end = np.array([END], "<u4").tobytes()
 
         def work(texts, _):
-            made = {k: [] for k in ("doc_tokens", "crcs", "start", "length", "ids", "near_1", "near_2")}
+            made = {k: [] for k in ("doc_tokens", "full", "start", "length", "ids", "near_1", "near_2")}
             for text in texts:
                 ids = words.text(text) + end
                 count = len(ids) // 4
@@ -69,7 +70,8 @@ def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str
                 step = 4 * window
                 tail = ids[full * step :]
                 made["doc_tokens"].append(count)
-                made["crcs"].append([zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(full)])
+                parts = [ids[i * step : (i + 1) * step] for i in range(full)]
+                made["full"].append([{"crc": zlib.crc32(x), "ids": x if ids_too else None} for x in parts])
                 made["start"].append(full * window)
                 made["length"].append(len(tail) // 4)
                 made["ids"].append(tail)
@@ -80,18 +82,17 @@ def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str
 
         return work
 
-    return map_texts(docs, [id_col], text_col, "doc_tokens long, crcs array<long>, " + _TAIL, make)
+    return map_texts(docs, [id_col], text_col, "doc_tokens long, full array<struct<crc:bigint,ids:binary>>, " + _TAIL, make)
 
 
 def _min_hash(tail: bytes) -> tuple[int, int]:
-    """Least hashes of the pairs of neighbouring ids, under two mixings."""
+    """Least and greatest hash of the pairs of neighbouring ids."""
     ids = np.frombuffer(tail, "<u4").astype(np.uint64)
     if len(ids) == 0:
         return 0, 0
-    pairs = ids[:-1] << np.uint64(32) | ids[1:] if len(ids) > 1 else ids
-    one = pairs * np.uint64(0x9E3779B97F4A7C15)
-    two = (pairs ^ np.uint64(0x5851F42D)) * np.uint64(0xD6E8FEB86659FD93)
-    return int((one ^ one >> np.uint64(29)).min() >> np.uint64(1)), int((two ^ two >> np.uint64(31)).min() >> np.uint64(1))
+    pairs = (ids[:-1] << np.uint64(32) | ids[1:] if len(ids) > 1 else ids) * np.uint64(0x9E3779B97F4A7C15)
+    pairs ^= pairs >> np.uint64(29)
+    return int(pairs.min() >> np.uint64(1)), int(pairs.max() >> np.uint64(1))
 
 
 def document_frequencies(tails: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -101,13 +102,13 @@ def document_frequencies(tails: DataFrame) -> tuple[np.ndarray, int, int]:
     """
 
     def run(batches):
-        counts = np.zeros(1 << 16, np.int64)
+        counts, slot = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
             for ids in utf8(batch, 0):
-                found = np.unique(np.frombuffer(ids, "<u4"))
-                if len(found) and found[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(found[-1]) + 1, np.int64)])
-                counts[found] += 1
+                found = np.frombuffer(ids, "<u4")
+                if len(found) and found.max() >= len(counts):
+                    counts, slot = (np.append(a, np.zeros(int(found.max()) + 1, np.int64)) for a in (counts, slot))
+                counts[distinct(found, slot)] += 1
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["term", "n"])
 
@@ -119,6 +120,13 @@ def document_frequencies(tails: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, total[0], total[1] or 0
 
 
+def distinct(ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Each id once; `slot` is scratch space with room for all of them."""
+    at = np.arange(len(ids))
+    slot[ids] = at
+    return ids[slot[ids] == at]
+
+
 class Shard:
     """An inverted BM25 index over some tails, and the pool of unused ones."""
 
@@ -126,18 +134,21 @@ class Shard:
         self.count = len(tails)
         lengths = np.array([len(t) for t in tails])
         owner = np.repeat(np.arange(self.count), lengths)
-        keys, tf = np.unique(np.concatenate(tails).astype(np.int64) * self.count + owner, return_counts=True)
+        terms, own = np.unique(np.concatenate(tails), return_inverse=True)
+        self._own = np.split(own, np.cumsum(lengths)[:-1])  # the tails in numbers of terms
+        self._slot = np.zeros(len(terms), np.int64)
+        keys, tf = np.unique(own * self.count + owner, return_counts=True)
         term, self._doc = np.divmod(keys, self.count)
         norm = K1 * (1 - B + B * lengths / max(average, 1.0))
-        self._weight = idf[term] * tf * (K1 + 1) / (tf + norm[self._doc])
-        self._terms, first = np.unique(term, return_index=True)
-        self._first = np.append(first, len(term))
+        self._weight = idf[terms[term]] * tf * (K1 + 1) / (tf + norm[self._doc])
+        self._first = np.searchsorted(term, np.arange(len(terms) + 1))
         self.unused = np.ones(self.count, bool)
 
-    def scores(self, seed: np.ndarray) -> np.ndarray:
-        """BM25 of every tail for the ids of the seed; used ones get -1."""
-        at = np.searchsorted(self._terms, np.unique(seed))
-        first, size = self._first[at], self._first[at + 1] - self._first[at]
+    def scores(self, tail: int, start: int = 0) -> np.ndarray:
+        """BM25 of every tail for the ids of a tail from `start`; used ones get -1."""
+        at = distinct(self._own[tail][start:], self._slot)
+        first = self._first[at]
+        size = self._first[at + 1] - first
         ends = np.cumsum(size)
         posting = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
         out = np.bincount(self._doc[posting], self._weight[posting], self.count)
@@ -171,7 +182,7 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, average: float, window: int)
         pieces, room = [(seed, first, len(tails[seed]) - first)], window - len(tails[seed]) + first
         rest = None
         if room and left:
-            scores = shard.scores(tails[seed])
+            scores = shard.scores(seed, first)
             wanted = min(left, 16)
             while room and left:
                 best = np.argpartition(-scores, wanted - 1)[:wanted] if wanted < shard.count else np.arange(shard.count)
@@ -194,9 +205,9 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, average: float, window: int)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
 ) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) for every piece.
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for every piece.
 
     Every document, closed by id 0, is cut into pieces that together fill
     sequences of `window` ids.  A document's full windows are sequences of
@@ -209,24 +220,23 @@ def pack(
     carried into the next one, so only the last sequence of a task is short.
 
     A null text is an empty document of one id.  Repeated rows are documents of
-    their own; a null id stays null; an empty table gives no row.  `ids` holds
-    the piece as little-endian 32-bit numbers, null for windows that are full
-    by themselves (they are `start` to `start + length` of the document).
+    their own; a null id stays null; an empty table gives no row.  With `ids`
+    each piece comes with its ids.
     """
-    rows = materialize(cut(docs, tokenizer, window, id_col, text_col).withColumnRenamed(id_col, "id"))
-    whole = rows.where(F.size("crcs") > 0).select(
-        "id", "doc_tokens", F.posexplode("crcs").alias("nth", "ids_crc32")
+    rows = materialize(cut(docs, tokenizer, window, id_col, text_col, ids).withColumnRenamed(id_col, "id"))
+    whole = rows.where(F.size("full") > 0).select(
+        "id", "doc_tokens", F.posexplode("full").alias("nth", "own")
     )
     # sequences that are a document's own window have odd numbers, the others even ones
     whole = whole.select(
         "id",
         (F.col("nth") * F.lit(window)).cast("long").alias("start"),
         F.lit(window).cast("long").alias("length"),
-        "ids_crc32",
+        F.col("own.crc").alias("ids_crc32"),
         "doc_tokens",
         (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
-        F.lit(None).cast("binary").alias("ids"),
+        *([F.col("own.ids").alias("ids")] if ids else []),
     )
     tails = rows.where("length > 0").select(
         "id", "doc_tokens", "start", "length", "ids", "near_1", "near_2"
@@ -239,8 +249,8 @@ def pack(
     tasks = max(1, -(-tokens // TASK_TOKENS))
     dealt = tails.repartitionByRange(tasks, "near_1", "near_2", F.xxhash64("id", "start", "doc_tokens"))
     dealt = dealt.sortWithinPartitions("near_1", "near_2", "id").select("id", "doc_tokens", "start", "ids")
-    kind = rows.schema["id"].dataType
-    names = ["id", *(x.split()[0] for x in _PIECE.split(", ")), "ids"]
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, {_PIECE}" + ", ids binary" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         task = pyspark.TaskContext.get().partitionId()
@@ -263,7 +273,7 @@ def pack(
                     ):
                         cell.append(value)
                     offset += size
-            kinds = [id_type, *[pa.int64()] * 6, pa.binary()]
+            kinds = [id_type, *[pa.int64()] * 6, pa.binary()][: len(names)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
         id_type, held = pa.null(), 0
@@ -282,5 +292,5 @@ def pack(
             windows, left = fill([p[3] for p in pool], idf, average, window)
             yield emit([*windows, left] if left else windows, pool, id_type)
 
-    packed = dealt.mapInArrow(run, f"id {kind.simpleString()}, {_PIECE}, ids binary")
+    packed = dealt.mapInArrow(run, schema)
     return whole.unionByName(packed).withColumnRenamed("id", id_col)

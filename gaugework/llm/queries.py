@@ -48,7 +48,7 @@ def learned_languages(docs: DataFrame) -> langid.Model:
 
 @_query
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), BYTE_BPE).drop("ids")
+    return packing.pack(_table(spark, folder, "documents"), BYTE_BPE)
 
 
 @_query

@@ -13,19 +13,22 @@ import regex
 _ANY = regex.compile(
     r"'(?:[sdmt]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-# The same up to U+017F, where the classes are short lists; several times faster.
-_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
+# The same up to U+00FF, where the classes are short lists; several times faster.
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\\t-\\r \x85\xa0"
 _LATIN = re.compile(
-    f"'(?:[sdmt]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+    f" ?[{_L}]+|'(?:[sdmt]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
-_BEYOND = re.compile("[^\\x00-ſ]")
 
 
 def split_words(text: str) -> list[str]:
     """All pieces of the text, in order; joined they are the text."""
-    return (_ANY if _BEYOND.search(text) else _LATIN).findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ANY.findall(text)
+    return _LATIN.findall(text)
 
 
 def byte_letters() -> dict[str, int]:
