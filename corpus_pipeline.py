@@ -62,7 +62,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
-    return packing.pack(docs, BYTE_BPE).drop("ids")
+    return packing.pack(docs, BYTE_BPE)
 
 
 STAGES = [
