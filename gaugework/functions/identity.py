@@ -18,12 +18,16 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 @F.pandas_udf(StringType())
 def canonical_json_sha256(texts: pd.Series) -> pd.Series:
-    """SHA-256 of JSON re-written with sorted keys, no spaces and ASCII escapes."""
+    """SHA-256 of JSON re-written with sorted keys, no spaces and ASCII escapes; null if malformed."""
 
     def digest(text):
         if text is None:
             return None
-        compact = json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        try:
+            value = json.loads(text)
+        except ValueError:  # one malformed document is a null, not a failed job
+            return None
+        compact = json.dumps(value, sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(compact.encode()).hexdigest()
 
     return texts.map(digest)
@@ -74,10 +78,13 @@ def uuid5(text: Column) -> Column:
 
 
 def version_numbers(text: Column) -> Column:
+    """The numbers in a version, of any size, as (digits, text) pairs that sort by value."""
+    pair = lambda n: F.struct(F.length(n).alias("digits"), n.alias("text"))
     numbers = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), lambda n: n.cast("long")
+        F.regexp_extract_all(text, F.lit(r"(\d+)"), 1),
+        lambda n: pair(F.regexp_replace(n, "^0+(?=.)", "")),
     )
-    return F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(0).cast("long")))
+    return F.when(F.size(numbers) > 0, numbers).otherwise(F.array(pair(F.lit("0"))))
 
 
 def minor_family(text: Column) -> Column:
@@ -86,15 +93,6 @@ def minor_family(text: Column) -> Column:
     return F.when(F.size(numbers) >= 2, F.array_join(F.slice(numbers, 1, 2), ".")).otherwise(text)
 
 
-def version_at_least(text: Column, minimum: str) -> Column:
-    """Dotted integer comparison with zero padding; other text is not at least anything."""
-    wanted = [int(p) for p in minimum.split(".")]
-    parts = F.split(text, r"\.")
-    get = lambda i: F.coalesce(F.get(parts, F.lit(i)).cast("long"), F.lit(0).cast("long"))
-    actual = F.array(*[get(i) for i in range(len(wanted))])
-    return text.rlike(r"^\d+(\.\d+)*$") & (actual >= F.array(*[F.lit(w).cast("long") for w in wanted]))
-
-
 def profile_slug(artifact: Column, runtime: Column, version: Column, device: Column) -> Column:
     """Profile identifier from the last part of the artifact, runtime and device."""
     return F.concat_ws(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugework.session import fits_one_task
 
-# At most this many keys are salted; every other key has under 1/1024 of the rows.
-SALTED_KEYS = 1024
+# Keys with more rows than this are split.
 ROWS_PER_SALT = 1_000_000
 
 
@@ -24,9 +23,9 @@ def lookup(
     """Join each fact row to at most one row of `table` on equally named keys.
 
     Small inputs leave the choice to the optimizer, which broadcasts by checked
-    size.  For large ones the hottest keys are split over copies of their
-    table row: the list of hot keys is bounded by SALTED_KEYS and so may be
-    broadcast; all remaining keys take the ordinary shuffle join.
+    size.  For large ones every key with more than ROWS_PER_SALT rows is split
+    over copies of its table row; the optimizer decides by the size of the list
+    of such keys how to join it.  All other keys take the ordinary join.
     `spread_by` names columns that identify a fact row.
     """
     if not spread_by or fits_one_task(facts):
@@ -35,16 +34,13 @@ def lookup(
         facts.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > ROWS_PER_SALT)
-        .orderBy(F.desc("_n"))
-        .limit(SALTED_KEYS)
         .select(*keys, F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int").alias("_copies"))
     )
-    bounded = F.broadcast(hot)
-    salted = facts.join(bounded, list(keys), "left").withColumn(
+    salted = facts.join(hot, list(keys), "left").withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int"), F.lit(0)),
     )
-    copies = table.join(bounded, list(keys), "left").withColumn(
+    copies = table.join(hot, list(keys), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
     )
     return salted.drop("_copies").join(

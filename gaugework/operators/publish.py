@@ -80,7 +80,7 @@ def claim_rows(
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(name).alias("claim_id"),
-                F.when(F.coalesce(evidence.get(name, F.lit(True)), F.lit(False)), F.lit(status))
+                F.when(F.coalesce(evidence.get(name, F.lit(False)), F.lit(False)), F.lit(status))
                 .otherwise("unknown")
                 .alias("status"),
                 basis.get(name, F.lit(0)).cast("long").alias("basis_rows"),

@@ -368,7 +368,7 @@ def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame
                 reasons(
                     (~environment_ok, "environment_ineligible"),
                     (~prepared, "model_preparation_ineligible"),
-                    (~_all(positions), "attempt_sequence_invalid"),
+                    (~_all(positions) | (F.size(r["attempts"]) != 6), "attempt_sequence_invalid"),
                     (~thermal_known, "thermal_evidence_unavailable"),
                     (stop_ignored, "contradictory_outcome_evidence"),
                 ),
@@ -376,7 +376,7 @@ def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame
                 reasons((derived_differ, "aggregate_mismatch")),
             )
         ).alias("_found"),
-        F.slice("values", 2, 1000).alias("_measured"),
+        F.filter("values", lambda v, i: i >= 1).alias("_measured"),
     )
     blocked = F.array_intersect(F.col("_found"), F.array(*[F.lit(c) for c in GLOBAL_REASONS]))
     workload = r["execution"]["workloadID"]
@@ -462,7 +462,7 @@ def legacy_values(evaluated: DataFrame, legacy_version: str) -> DataFrame:
     """
     r = F.col("r")
     failed_check = F.exists(
-        F.slice(r["attempts"], 2, 1000), lambda a: a["responseConformance"]["status"] == "fail"
+        F.filter(r["attempts"], lambda a, i: i >= 1), lambda a: a["responseConformance"]["status"] == "fail"
     )
     primary = F.filter(
         F.col("decisions"), lambda d: d["metric_id"] == WORKLOADS[SHORT]["primary"]

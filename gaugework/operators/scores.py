@@ -97,10 +97,12 @@ def scored_listing(df: DataFrame, suite: str, score: str, path: str) -> DataFram
 def natural_key(text: Column) -> Column:
     """Case-insensitive, number-aware sort text: digit runs compare by value."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
+    # a longer run is a larger number, so its length comes first
+    by_length = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
     padded = F.transform(
         parts,
         lambda p: F.when(
-            p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")
+            p.rlike(r"^\d"), by_length(F.regexp_replace(p, "^0+(?=.)", ""))
         ).otherwise(p),
     )
     return F.array_join(padded, "")

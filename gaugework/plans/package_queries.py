@@ -21,7 +21,7 @@ from gaugework.session import slice_count
 _SHA = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("program", "target", "model", "stack", "work")}
 _GENERATION = '{"maximumOutputTokens":128,"sampling":false,"temperature":0}'
 _RUNTIME = '{"backend":"metal","configuration":{"fixture":true},"name":"runtime"}'
-_VERIFIED = "The note is stored locally and safely. Synchronization resumes when connectivity returns."
+_VERIFIED = "Your draft is kept securely on this phone. It syncs once the network is back."
 _CONTRADICTED = "The note was deleted."
 _WEAK = "Saved locally."
 

@@ -114,7 +114,7 @@ def attempt_reasons(attempt: Column) -> Column:
     events, metrics = attempt["tokenEvents"], attempt["metrics"]
     times = F.transform(events, lambda e: e["elapsedNanoseconds"])
     gaps = F.transform(
-        F.slice(events, 2, 1 << 30),
+        F.filter(events, lambda e, i: i >= 1),
         lambda e, i: (e["elapsedNanoseconds"] - F.get(times, i)) / 1e6,
     )
     first, last = F.get(times, F.lit(0)), F.try_element_at(times, F.lit(-1))

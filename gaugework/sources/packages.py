@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +14,27 @@ PACKAGE_FILES = ("result.json", "submission.json")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below `root`; the content column is read only where it is used."""
+    """Every file below `root`; the content column is read only where it is used.
+
+    `folder` is the first part of the path below the root, null for a loose
+    file, and `file` is the rest, so an entry of a nested folder counts among
+    the files of the package it lies in.  Spark's sources hide names that start
+    with a dot or an underscore, and empty folders.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
-    parts = F.split(F.col("path"), "/")
+    plain = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*"  # scheme and authority
+    base = re.sub(plain, "/", root).rstrip("/") + "/"
+    full = F.regexp_replace("path", plain, "/")
+    below = F.substr(full, F.locate(base, full) + F.lit(len(base)))
+    inside = F.contains(below, F.lit("/"))
     return files.select(
         "path",
         "length",
         "content",
-        F.element_at(parts, -1).alias("file"),
-        F.element_at(parts, -2).alias("folder"),
+        F.when(inside, F.regexp_extract(below, "^[^/]*/(.*)$", 1)).otherwise(below).alias("file"),
+        F.when(inside, F.substring_index(below, "/", 1)).alias("folder"),
     )
 
 
@@ -30,7 +42,7 @@ def package_files(spark: SparkSession, root: str) -> DataFrame:
     """Completeness of every package folder: exactly the two files."""
     listing = list_files(spark, root).select("folder", "file")
     has = lambda name: F.count_if(F.col("file") == name) == 1
-    inside = listing.where(F.col("folder") != F.lit(root.rstrip("/").split("/")[-1]))
+    inside = listing.where(F.col("folder").isNotNull())
     return inside.groupBy(F.col("folder").alias("package_id")).agg(
         F.count("*").alias("files"),
         *[(~has(f)).alias(f"missing_{f.split('.')[0]}") for f in PACKAGE_FILES],
@@ -43,7 +55,7 @@ def package_files(spark: SparkSession, root: str) -> DataFrame:
 def unexpected_files(spark: SparkSession, root: str) -> DataFrame:
     """Entries that belong to no package: loose files (but the README) and extra files."""
     listing = list_files(spark, root).select("path", "folder", "file")
-    loose = F.col("folder") == F.lit(root.rstrip("/").split("/")[-1])
+    loose = F.col("folder").isNull()
     return listing.where(
         (loose & (F.col("file") != "README.md")) | (~loose & ~F.col("file").isin(*PACKAGE_FILES))
     ).select(
@@ -57,7 +69,8 @@ def read_packages(spark: SparkSession, root: str) -> DataFrame:
     Bytes are read only for the two expected names, so stray files cost a
     listing entry and nothing else.
     """
-    files = list_files(spark, root).where(F.col("file").isin(*PACKAGE_FILES))
+    listed = list_files(spark, root)
+    files = listed.where(F.col("folder").isNotNull() & F.col("file").isin(*PACKAGE_FILES))
     content = lambda name: F.max(F.when(F.col("file") == name, F.col("content")))
     both = files.groupBy(F.col("folder").alias("package_id")).agg(
         content("submission.json").alias("submission"), content("result.json").alias("result")
@@ -160,7 +173,10 @@ def read_reviews(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     )
     stray = (
         list_files(spark, folder)
-        .where(~F.col("file").endswith(".json") & (F.col("file") != "README.md"))
+        .where(
+            F.col("folder").isNotNull()
+            | (~F.col("file").endswith(".json") & (F.col("file") != "README.md"))
+        )
         .select("path", F.lit("unexpected-review-entry").alias("problem"))
     )
     return records, rejected.unionByName(stray)

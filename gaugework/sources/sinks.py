@@ -49,11 +49,20 @@ def checksum_inventory(spark: SparkSession, path: str) -> DataFrame:
 def split_append(
     incoming: DataFrame, existing: DataFrame, key: str = "result_id", digest: str = "result_sha256"
 ) -> tuple[DataFrame, DataFrame]:
-    """(new rows, collisions): same id and bytes is a no-op, other bytes a collision."""
-    known = existing.select(key, F.col(digest).alias("_stored"))
-    both = incoming.join(known, key, "left")
-    fresh = both.where(F.col("_stored").isNull()).drop("_stored")
-    clash = both.where(F.col("_stored") != F.col(digest)).withColumn(
-        "reason", F.lit("result-id-collision")
+    """(new rows, collisions): same id and bytes is a no-op, other bytes a collision.
+
+    An id that comes twice in one batch is appended once: the least digest
+    stands for it, and any other digest is a collision.
+    """
+    known = existing.select(key, F.col(digest).alias("_stored")).distinct()
+    rows = incoming.dropDuplicates([key, digest])
+    first = rows.groupBy(key).agg(F.min(digest).alias("_first"))
+    both = rows.join(first, key, "left").join(known, key, "left")
+    holds = F.coalesce("_stored", "_first")
+    fresh = both.where(F.col("_stored").isNull() & (holds == F.col(digest))).drop("_stored", "_first")
+    clash = (
+        both.where(holds != F.col(digest))
+        .drop("_first")
+        .withColumn("reason", F.lit("result-id-collision"))
     )
     return fresh, clash

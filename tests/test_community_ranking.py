@@ -218,6 +218,7 @@ CASES = {
     "role": (LONG, _change("attempts", 2, "role", value="warmup"), "attempt_sequence_invalid"),
     "critical": (LONG, _change("attempts", 3, "thermal", "before", value="critical"), "contradictory_outcome_evidence"),
     "outcome": (LONG, _change("attempts", 3, "outcome", value="failed"), "contradictory_outcome_evidence"),
+    "five attempts": (SHORT, lambda body: body["attempts"].pop(), "attempt_sequence_invalid"),
 }
 
 

@@ -84,6 +84,10 @@ def decided(spark, tmp_path_factory):
     broken = root / builders.write_package(root, 206, builders.result(206))
     (broken / "result.json").write_text("{not json")
     names["broken"] = broken.name
+    nested = root / builders.write_package(root, 207, builders.result(207))
+    (nested / "sub").mkdir()
+    (nested / "sub" / "result.json").write_text("{}")
+    names["nested entry"] = nested.name
     (root / "README.md").write_text("listing")
     (root / "stray.txt").write_text("x")
     packages = source.with_declared_author(source.read_packages(spark, str(root)))
@@ -98,12 +102,12 @@ def test_golden_package(decided):
     assert row.classification == "auto-accept" and row.reason_codes == []
     assert row.behaviour == "pass"
     values = {m.metric_id: m for m in row.metrics}
-    assert values["first_renderable_ms"].value == pytest.approx(0.00012)
-    assert values["pipeline_ttft_ms"].value == pytest.approx(0.0001)
-    assert values["request_completion_ms"].value == pytest.approx(0.001)
-    assert values["prefill_tokens_per_second"].value == pytest.approx(2e8)
-    assert values["decode_tokens_per_second"].value == pytest.approx(2.875e7)
-    assert values["peak_physical_footprint_mib"].value == pytest.approx(476.837, abs=1e-3)
+    assert values["first_renderable_ms"].value == pytest.approx(54.0)
+    assert values["pipeline_ttft_ms"].value == pytest.approx(41.0)
+    assert values["request_completion_ms"].value == pytest.approx(150.0)
+    assert values["prefill_tokens_per_second"].value == pytest.approx(2500.0)
+    assert values["decode_tokens_per_second"].value == pytest.approx(80.0)
+    assert values["peak_physical_footprint_mib"].value == pytest.approx(625.0)
     assert values["decode_first_to_last_percent_change"].status == "not-applicable"
 
 
@@ -120,6 +124,7 @@ def test_integrity(decided):
     assert "result-digest-mismatch" in rows["tampered"].reason_codes
     assert rows["disclosed"].classification == "manual-review"
     assert "submission-package-file-set-invalid" in rows["extra file"].reason_codes
+    assert "submission-package-file-set-invalid" in rows["nested entry"].reason_codes
     assert "invalid-envelope" in rows["broken"].reason_codes
 
 
@@ -144,7 +149,11 @@ def test_run_report_and_strays(spark, decided):
     report = run_report(frame).collect()[0]
     assert report.input == len(rows) == report.accepted + report.manual_review + report.rejected
     stray = {r.path.split("/")[-1]: r.reason for r in source.unexpected_files(spark, str(root)).collect()}
-    assert stray == {"stray.txt": "unexpected-entry", "notes.txt": "unexpected-package-file"}
+    assert stray == {
+        "stray.txt": "unexpected-entry",
+        "notes.txt": "unexpected-package-file",
+        "result.json": "unexpected-package-file",
+    }
 
 
 def test_closed_intake_rejects(spark, tmp_path):

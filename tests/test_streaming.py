@@ -72,11 +72,15 @@ def test_live_sessions_equal_batch(spark, tmp_path):
 def test_same_id_other_bytes_is_a_collision(spark):
     old = spark.createDataFrame([("r1", "a"), ("r2", "b")], "result_id string, result_sha256 string")
     new = spark.createDataFrame(
-        [("r1", "a"), ("r2", "x"), ("r3", "c")], "result_id string, result_sha256 string"
+        [("r1", "a"), ("r2", "x"), ("r3", "c"), ("r3", "c"), ("r4", "e"), ("r4", "d")],
+        "result_id string, result_sha256 string",
     )
     fresh, clash = split_append(new, old)
-    assert [r.result_id for r in fresh.collect()] == ["r3"]
-    assert [(r.result_id, r.reason) for r in clash.collect()] == [("r2", "result-id-collision")]
+    assert sorted((r.result_id, r.result_sha256) for r in fresh.collect()) == [("r3", "c"), ("r4", "d")]
+    assert sorted((r.result_id, r.result_sha256, r.reason) for r in clash.collect()) == [
+        ("r2", "x", "result-id-collision"),
+        ("r4", "e", "result-id-collision"),
+    ]
 
 
 def test_batch_scope_and_class(spark):
