@@ -221,7 +221,10 @@ _SPACED = "trim(regexp_replace(lower(text), '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{
     """,
 )
 def behaviour_votes(spark, sf):
-    """Sentence limit, contradictions, then concepts; attempts vote per conversation."""
+    """Sentence limit, contradictions, then concepts; attempts vote per conversation.
+
+    A system turn sets the task and is no answer to judge.
+    """
     turns = Tables(spark, sf).conversations.where("role <> 'system'")
     text = ascii_normalized_text(F.col("text"))
     status = behaviour.response_status(F.col("t"), _GROUPS, _CONTRADICTIONS, 6)

@@ -19,8 +19,7 @@ _REVIEWS = """
           CASE WHEN o_orderkey % 20 = 7 THEN 'M' WHEN o_orderkey % 4 <= 1 THEN 'I' WHEN o_orderkey % 4 = 2 THEN 'R'
                ELSE 'V' END AS kind, o_totalprice > 60000 AS static_ok FROM orders),
     s AS (SELECT l_orderkey AS id, l_suppkey AS sup, l_suppkey % 10 <> o_custkey % 10 AS ok
-          FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 4 = 2 AND l_orderkey % 20 <> 7
-            AND l_linenumber = 3),
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 4 = 2 AND l_orderkey % 20 <> 7),
     sc AS (SELECT id, count(*) AS n, bool_and(ok) AS ok FROM s GROUP BY ALL),
     c AS (SELECT r.*, CASE WHEN kind = 'I' OR (kind = 'M' AND sub % 2 = 0) THEN 'unreviewed'
             WHEN kind = 'V' AND sub % 2 = 1 THEN 'reproduced' ELSE 'community-submitted' END AS prev,
@@ -72,9 +71,10 @@ def _folded(spark, sf):
         .when(k == "verification-review", "verified")
         .otherwise("maintainer-reference"),
     )
-    named = t.lineitem.where(
-        "l_orderkey % 4 = 2 AND l_orderkey % 20 <> 7 AND l_linenumber = 3"
-    ).select("l_orderkey", "l_suppkey")
+    # only reproduction reviews name supporting packages
+    named = t.lineitem.where("l_orderkey % 4 = 2 AND l_orderkey % 20 <> 7").select(
+        "l_orderkey", "l_suppkey"
+    )
     supports = named.join(
         t.orders.select(key.alias("l_orderkey"), sub.alias("c")), "l_orderkey"
     ).select(
