@@ -104,7 +104,7 @@ def fit(pieces: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, rat
     for words in pieces:
         bucket, weight = subwords(words)
         used, slot = np.unique(bucket, return_inverse=True)
-        bags.append((used, np.bincount(slot, weight) / len(words)))
+        bags.append((used.astype(np.int32), (np.bincount(slot, weight) / len(words)).astype(np.float32)))
         held_by[used] += 1
     known = held_by >= LEAST_PIECES
     bags = [(used[known[used]], weight[known[used]]) for used, weight in bags]
@@ -149,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled documents of at most TRAIN_BYTES.
 
     `labels` (doc_id, toxic) holds what may be learned; ids labelled both ways
-    are left out.  Pieces drawn from these documents train the vectors; the
-    last fifth of the documents, whole, sets the scale of the score.
+    are left out.  Pieces drawn from these documents train the vectors.  An
+    eighth of the documents, scored whole, is held back for the scale of the
+    score.
     """
     agreed = (
         labels.where("doc_id is not null and toxic is not null")
@@ -175,22 +176,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     rng = np.random.default_rng(5)
     texts = [(words_of(t.encode("utf-8", "replace")), toxic[i]) for i, t in zip(got.doc_id, got.text)]
     texts = [texts[i] for i in rng.permutation(len(texts))]
-    held = len(texts) // 5
+    held = len(texts) // 8
     fitted, kept = texts[held:], texts[:held]
     if len({y for w, y in fitted if w}) < 2:
         return Model(np.zeros(BUCKETS), -40.0)
 
+    model = _fitted(fitted, rng)
+    if len({y for _, y in kept}) == 2:
+        margins = np.array([model.margin(w) for w, _ in kept])
+        model.scale, model.shift = _platt(margins, np.array([y for _, y in kept]))
+    return model
+
+
+def _fitted(texts: list[tuple[list[bytes], int]], rng: np.random.Generator) -> Model:
     pieces, marks = [], []
-    for words, y in fitted:
+    for words, y in texts:
         own = _pieces(words)
         own = [own[i] for i in rng.permutation(len(own))[: PIECES[y]]]
         pieces += own
         marks += [y] * len(own)
-    model = Model(*fit(pieces, np.array(marks)))
-    if len({y for _, y in kept}) == 2:
-        margins = np.array([model.margin(w) for w, _ in kept])
-        model.scale, model.shift = _platt(margins, np.array([y for _, y in kept]))
-    return model
+    return Model(*fit(pieces, np.array(marks)))
 
 
 def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
