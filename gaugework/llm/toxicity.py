@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,16 +23,20 @@ PIECES = (3, 12)
 # Subwords in fewer pieces have no vector: they could only be learned by heart.
 LEAST_PIECES = 10
 ROUNDS = 5
-# Texts are hashed so many words at a time.
+# Words whose average stands beside the average of all words.
+STRONGEST = 3
+# Words are hashed so many at a time; a task remembers this many short ones.
 _WORDS = 1 << 16
+_KNOWN = 1 << 18
+_SHORT = 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all marked words, and the weight of each.
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all marked words, the weight of each, and its word's place.
 
     A word is marked at both ends and weighs the same however many n-grams it
     has; misspellings share most of theirs.  Weights sum to the word count.
@@ -42,7 +47,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     room = np.repeat(ends, sizes) - np.arange(ends[-1])  # letters up to the end of the word
     orders = np.arange(LOWEST, HIGHEST + 1)
     share = np.repeat(1 / np.maximum(np.maximum(sizes[:, None] - orders + 1, 0).sum(1), 1), sizes)
-    buckets, weights = [], []
+    word = np.repeat(np.arange(len(words)), sizes)
+    buckets, weights, places = [], [], []
     mixed = np.zeros(len(code), np.uint32)
     for order in range(1, HIGHEST + 1):
         if len(code) < order:
@@ -53,34 +59,48 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             inside = room[: len(mixed)] >= order
             buckets.append(mixed[inside] * np.uint32(0x9E3779B1) >> np.uint32(15))
             weights.append(share[: len(mixed)][inside])
-    return np.concatenate(buckets), np.concatenate(weights)
+            places.append(word[: len(mixed)][inside])
+    return np.concatenate(buckets), np.concatenate(weights), np.concatenate(places)
 
 
 @dataclasses.dataclass
 class Model:
     """What the softmax of the averaged embeddings needs.
 
-    The text vector is the mean of word vectors, a word vector the mean of its
-    subword vectors, and the softmax is linear, so the difference of the two
-    logits is the bias plus the mean over words of means over `pull`, each
-    bucket's vector times the difference of the softmax weights.
+    A word vector is the mean of its subword vectors, and the softmax is linear,
+    so a word adds to the difference of the two logits the mean over `pull`,
+    each bucket's vector times the difference of the softmax weights.  Two
+    averages of the word vectors of a text go through that softmax: of all
+    words, and of the STRONGEST different ones, since a few words far apart make
+    a long text toxic.  A logistic curve over both and the text's length turns
+    them into the score.
     """
 
     pull: np.ndarray
-    bias: float
-    scale: float = 1.0
-    shift: float = 0.0
-
-    def margin(self, words: list[bytes]) -> float:
-        """Difference of the logits of a whole text."""
-        total = 0.0
-        for at in range(0, len(words), _WORDS):
-            buckets, weights = subwords(words[at : at + _WORDS])
-            total += float(self.pull[buckets] @ weights)
-        return self.bias + total / max(len(words), 1)
-
-    def score(self, words: list[bytes]) -> float:
-        x = self.scale * self.margin(words) + self.shift
+    scale: np.ndarray
+    shift: float
+
+    @classmethod
+    def constant(cls, score: float) -> Model:
+        return cls(np.zeros(BUCKETS), np.zeros(3), float(np.log(score / (1 - score))))
+
+    def averages(self, words: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+        """Both averages of a whole text, and the log of its words; `known` keeps words met before."""
+        counts = Counter(words)
+        new = [w for w in counts if w not in known]
+        for at in range(0, len(new), _WORDS):
+            part = new[at : at + _WORDS]
+            buckets, weights, places = subwords(part)
+            known.update(zip(part, np.bincount(places, self.pull[buckets] * weights, len(part)).tolist()))
+        pulls = np.array([known[w] for w in counts])
+        times = np.fromiter(counts.values(), np.int64, len(counts))
+        if len(known) > _KNOWN or max(map(len, new), default=0) > _SHORT:
+            known.clear()
+        top = np.sort(pulls)[-STRONGEST:]
+        return np.array([pulls @ times / max(len(words), 1), top.sum() / STRONGEST, np.log1p(len(words))])
+
+    def score(self, words: list[bytes], known: dict[bytes, float] | None = None) -> float:
+        x = self.averages(words, {} if known is None else known) @ self.scale + self.shift
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
@@ -91,7 +111,7 @@ def _pieces(words: list[bytes]) -> list[list[bytes]]:
     return [words[i:j] for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
-def fit(pieces: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, rate: float = 1.0, batch: int = 64, shrink: float = 0.15) -> tuple:
+def fit(pieces: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, rate: float = 1.0, batch: int = 64, shrink: float = 0.15) -> np.ndarray:
     """Embeddings and softmax weights, trained together with per-weight steps.
 
     Both classes weigh the same.  After each step every vector is drawn towards
@@ -102,7 +122,7 @@ def fit(pieces: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, rat
     bags = []
     held_by = np.zeros(BUCKETS, np.int64)
     for words in pieces:
-        bucket, weight = subwords(words)
+        bucket, weight, _ = subwords(words)
         used, slot = np.unique(bucket, return_inverse=True)
         bags.append((used.astype(np.int32), (np.bincount(slot, weight) / len(words)).astype(np.float32)))
         held_by[used] += 1
@@ -142,7 +162,7 @@ def fit(pieces: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, rat
             heads -= 0.1 * rate * to_heads / np.sqrt(sums[1])
             sums[2] += to_bias**2
             bias -= 0.1 * rate * to_bias / np.sqrt(sums[2])
-    return table @ (heads[1] - heads[0]), float(bias[1] - bias[0])
+    return table @ (heads[1] - heads[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -150,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     `labels` (doc_id, toxic) holds what may be learned; ids labelled both ways
     are left out.  Pieces drawn from these documents train the vectors.  An
-    eighth of the documents, scored whole, is held back for the scale of the
-    score.
+    eighth of the documents, scored whole, is held back for the curve of the
+    score.  If it lacks a class, the curve is fitted on all of them.
     """
     agreed = (
         labels.where("doc_id is not null and toxic is not null")
@@ -162,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "low").collect()
     toxic = {r.doc_id: int(r.low > 0) for r in chosen}
     if len(set(toxic.values())) < 2:
-        return Model(np.zeros(BUCKETS), -40.0 if not any(toxic.values()) else 40.0)
+        return Model.constant(0.999 if any(toxic.values()) else 0.001)
     ids = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")
     # at most `rows` ids, so the hint is bounded
     got = (
@@ -179,45 +199,48 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     held = len(texts) // 8
     fitted, kept = texts[held:], texts[:held]
     if len({y for w, y in fitted if w}) < 2:
-        return Model(np.zeros(BUCKETS), -40.0)
-
-    model = _fitted(fitted, rng)
-    if len({y for _, y in kept}) == 2:
-        margins = np.array([model.margin(w) for w, _ in kept])
-        model.scale, model.shift = _platt(margins, np.array([y for _, y in kept]))
+        return Model.constant(0.001)
+    pull = _fitted(fitted, rng)
+    if len({y for _, y in kept}) < 2:
+        kept = texts
+    model = Model(pull, np.zeros(3), 0.0)
+    known: dict[bytes, float] = {}
+    model.scale, model.shift = _curve(np.array([model.averages(w, known) for w, _ in kept]), np.array([y for _, y in kept]))
     return model
 
 
-def _fitted(texts: list[tuple[list[bytes], int]], rng: np.random.Generator) -> Model:
+def _fitted(texts: list[tuple[list[bytes], int]], rng: np.random.Generator) -> np.ndarray:
     pieces, marks = [], []
     for words, y in texts:
         own = _pieces(words)
         own = [own[i] for i in rng.permutation(len(own))[: PIECES[y]]]
         pieces += own
         marks += [y] * len(own)
-    return Model(*fit(pieces, np.array(marks)))
+    return fit(pieces, np.array(marks))
+
 
+def _curve(x: np.ndarray, labels: np.ndarray, ridge: float = 0.25) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve through the averages, by Newton's method.
 
-def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope (above zero) and shift of a logistic curve through the held-back margins."""
-    spread = max(float(margins.std()), 1e-6)
-    x = margins / spread
-    a, b = 1.0, 0.0
+    The averages are brought to one spread, the slopes held small by `ridge`,
+    and the targets drawn in by what the number of rows can tell.
+    """
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.c_[(x - middle) / spread, np.ones(len(x))]
     target = np.where(labels > 0, 1 - 1 / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([((p - target) * x).sum(), (p - target).sum()])
+    held = ridge * np.diag([1.0] * x.shape[1] + [1e-6])
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         r = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(r * x * x).sum() + 1e-3, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, g)
-        a, b = max(a - np.clip(da, -1, 1), 0.05), b - np.clip(db, -1, 1)
-    return a / spread, b
+        w -= np.clip(np.linalg.solve((z * r[:, None]).T @ z + held, z.T @ (p - target) + held @ w), -1, 1)
+    return w[:-1] / spread, float(w[-1] - w[:-1] @ (middle / spread))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every whole text.
 
-    A null or empty text has no word, so its margin is the bias alone.
+    A null or empty text has no word, so both its averages are zero.
     Repeated rows and null ids give one row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
@@ -227,7 +250,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         known: dict[bytes, float] = {}
 
         def work(texts, _):
-            scores = [m.score(words_of(t)) for t in texts]
+            scores = [m.score(words_of(t), known) for t in texts]
             return {"score": scores, "predicted": [int(x >= 0.5) for x in scores]}
 
         return work
