@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.session import fits_one_task
-
 # Keys with more rows than this are split.
 ROWS_PER_SALT = 1_000_000
 
@@ -22,13 +20,12 @@ def lookup(
 ) -> DataFrame:
     """Join each fact row to at most one row of `table` on equally named keys.
 
-    Small inputs leave the choice to the optimizer, which broadcasts by checked
-    size.  For large ones every key with more than ROWS_PER_SALT rows is split
-    over copies of its table row; the optimizer decides by the size of the list
-    of such keys how to join it.  All other keys take the ordinary join.
-    `spread_by` names columns that identify a fact row.
+    Every key with more than ROWS_PER_SALT rows is split over copies of its table
+    row; the optimizer decides by the size of the list of such keys how to join
+    it.  All other keys have one copy.  `spread_by` names columns that identify
+    a fact row; without it the join is left to the optimizer.
     """
-    if not spread_by or fits_one_task(facts):
+    if not spread_by:
         return facts.join(table, list(keys), how)
     hot = (
         facts.groupBy(*keys)

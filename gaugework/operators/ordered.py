@@ -1,13 +1,13 @@
 """Order-dependent operators that stay whole when one key holds most rows.
 
-Row numbers, running totals, previous values and exact percentiles are plain
-window functions as long as the scanned input fits one task.  Beyond that a
-window over a hot key would sort a third of the data in one task, so the same
-answers are computed from ordered slices: a range shuffle on (key, order) cuts
-even a single key into bounded slices, each slice is summarised to one row,
-the summaries of the earlier slices are carried into every slice, and the
-window then runs inside (key, slice).  The labelled rows are written to a table
-first because a recomputed range shuffle may cut elsewhere.
+A plain window over a hot key would sort a third of the data in one task, so
+row numbers, running flags, previous values and exact percentiles come from
+ordered slices: the rows are written to a table and counted, a range shuffle on
+(key, order) cuts even a single key into slices of bounded size, each slice is
+summarised to one row, the summaries of the earlier slices are carried into
+every slice, and the window then runs inside (key, slice).  The labelled rows
+are written too, because a recomputed range shuffle may cut elsewhere; rows that
+make one slice need no shuffle and have their label by themselves.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.session import fits_one_task, materialize, slice_count
+from gaugework.session import materialize, slice_count
 
 SLICE = "_slice"
 
@@ -29,7 +29,11 @@ def _over(keys: Sequence[str], order: Sequence[Column]):
 
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Label every row with the number of its slice in (key, order) order."""
-    ranged = df.repartitionByRange(slice_count(df), *[F.col(k) for k in keys], *order)
+    kept = materialize(df)
+    slices = slice_count(kept)
+    if slices == 1:
+        return kept.withColumn(SLICE, F.lit(0))
+    ranged = kept.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -55,8 +59,6 @@ def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
     """1-based position of each row inside its key; `order` must be a total order."""
-    if fits_one_task(df):
-        return df.withColumn(name, F.row_number().over(_over(keys, order)))
     sliced = ordered_slices(df, keys, order)
     counts = sliced.groupBy(*keys, SLICE).agg(F.count("*").alias("_rows"))
     carry = counts.select(*keys, SLICE, F.sum("_rows").over(_earlier(keys)).alias("_before"))
@@ -68,24 +70,6 @@ def number_rows(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
-) -> DataFrame:
-    """Sum of `value` from the first row of the key up to and including this row."""
-    upto = lambda cols: _over(cols, order).rowsBetween(Window.unboundedPreceding, 0)
-    if fits_one_task(df):
-        return df.withColumn(name, F.sum(value).over(upto(keys)))
-    sliced = ordered_slices(df, keys, order)
-    totals = sliced.groupBy(*keys, SLICE).agg(F.sum(value).alias("_total"))
-    carry = totals.select(*keys, SLICE, F.sum("_total").over(_earlier(keys)).alias("_before"))
-    inside = F.sum(value).over(upto([*keys, SLICE]))
-    return (
-        _attach(sliced, carry, keys)
-        .withColumn(name, F.coalesce("_before", F.lit(0)) + inside)
-        .drop("_before", SLICE)
-    )
-
-
 def running_any(
     df: DataFrame,
     keys: Sequence[str],
@@ -97,8 +81,6 @@ def running_any(
     """True once `flag` was true on an earlier row (or this one) of the key."""
     last = 0 if include_current else -1
     upto = lambda cols: _over(cols, order).rowsBetween(Window.unboundedPreceding, last)
-    if fits_one_task(df):
-        return df.withColumn(name, F.coalesce(F.bool_or(flag).over(upto(keys)), F.lit(False)))
     sliced = ordered_slices(df, keys, order)
     seen = sliced.groupBy(*keys, SLICE).agg(F.bool_or(flag).alias("_any"))
     carry = seen.select(*keys, SLICE, F.bool_or("_any").over(_earlier(keys)).alias("_before"))
@@ -116,9 +98,6 @@ def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]
 ) -> DataFrame:
     """Add, for each {new name: column}, its value on the previous row of the key."""
-    if fits_one_task(df):
-        window = _over(keys, order)
-        return df.select("*", *[F.lag(c).over(window).alias(n) for n, c in columns.items()])
     sliced = ordered_slices(df, keys, order)
     inside = _over([*keys, SLICE], order)
     # The last row of a slice has no successor inside it; one such row per slice.
@@ -150,26 +129,6 @@ def beside(*single_rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in columns])
 
 
-def _windowed_percentiles(df, keys, value, fractions, also) -> DataFrame:
-    """One sort per key; spills like any window and needs no buffer per group."""
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    ranked = df.withColumn(
-        "_rank", F.row_number().over(group.orderBy(F.asc_nulls_last(value))) - 1
-    ).withColumn("_all", F.count(value).over(group))
-    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col(value).cast("double")))
-    position = lambda f: f * (F.col("_all") - 1)
-    found = ranked.groupBy(*keys).agg(
-        F.max("_all").alias("_all"),
-        *[at(F.floor(position(f))).alias(f"_lo_{n}") for n, f in fractions.items()],
-        *[at(F.ceil(position(f))).alias(f"_hi_{n}") for n, f in fractions.items()],
-        *also,
-    )
-    inner = {"_all", *[f"_{end}_{n}" for n in fractions for end in ("lo", "hi")]}
-    return _interpolated(
-        found, keys, fractions, [c for c in found.columns if c not in inner and c not in keys]
-    )
-
-
 def _interpolated(found, keys, fractions, columns) -> DataFrame:
     names = []
     for n, fraction in fractions.items():
@@ -194,8 +153,6 @@ def exact_percentiles(
     Keys whose values are all null keep a row with null percentiles.  `also`
     takes further aliased aggregates (mergeable ones: count, sum, max_by, ...).
     """
-    if fits_one_task(df):
-        return _windowed_percentiles(df, keys, value, fractions, also)
     number = F.col(value).cast("double")
     counted = df.groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_n"))
     present = counted.where(F.col("_v").isNotNull())

@@ -19,7 +19,7 @@ from gaugework import rules
 from gaugework.functions.numbers import reasons
 from gaugework.operators.hot_keys import lookup
 from gaugework.operators.ordered import number_rows
-from gaugework.session import fits_one_task, materialize
+from gaugework.session import materialize
 
 
 def transition_allowed(kind: Column, previous: Column, assigned: Column) -> Column:
@@ -81,8 +81,7 @@ def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
         & F.coalesce("_ok", F.lit(True)),
     )
     # Each step below reads the rows of the step before twice.
-    keep = (lambda df: df) if fits_one_task(records) else materialize
-    static = keep(static)
+    static = materialize(static)
     usable = static.where("_static")
     first = _earliest(usable.where("previous_level = 'unreviewed'"), "")
     facts = _support_facts(supports, first).select(
@@ -92,7 +91,7 @@ def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
     supported = F.col("_all_accepted").isNull() | (
         F.col("_all_accepted") & (F.col("_last_accepted") < F.col("_at"))
     )
-    dated = keep(dated.withColumn("_supported", supported))
+    dated = materialize(dated.withColumn("_supported", supported))
     second_candidates = dated.where(
         F.col("_static")
         & F.col("_supported")
@@ -101,7 +100,7 @@ def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
         & (F.col("_at") > F.col("_at1"))
     )
     second = _earliest(second_candidates, "2")
-    stepped = keep(lookup(dated, second, ["submission_id"], "left", ["review_id"]))
+    stepped = materialize(lookup(dated, second, ["submission_id"], "left", ["review_id"]))
     third_candidates = stepped.where(
         F.col("_static")
         & (F.col("previous_level") == "reproduced")

@@ -16,7 +16,6 @@ from gaugework.functions.numbers import joined
 from gaugework.operators.integrity import fixed_rows
 from gaugework.plans import evidence_ranking as ranking
 from gaugework.plans.registry import Tables, big, query
-from gaugework.session import slice_count
 
 _SHA = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("program", "target", "model", "stack", "work")}
 _GENERATION = '{"maximumOutputTokens":128,"sampling":false,"temperature":0}'
@@ -157,7 +156,7 @@ def derived_packages(spark, sf):
         key, F.when(key % 60 == 59, key - 1).otherwise(key).alias("content_key")
     )
     # The documents grow from one small key each, so the keys are spread first.
-    rows = rows.repartition(slice_count(rows), "c_custkey")
+    rows = rows.repartition("c_custkey")
     interactive = k % 2 == 0
     number = (k % 4).cast("string")
     # The 29-row wrinkle differs from the registry on purpose.

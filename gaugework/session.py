@@ -1,4 +1,4 @@
-"""Session set-up and the two size questions every operator may ask."""
+"""Session set-up, the size of slices, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Session setting: how many scanned bytes one task may be trusted with.
-SINGLE_TASK_BYTES = "gaugework.singleTaskBytes"
-DEFAULT_SINGLE_TASK_BYTES = 128 * 1024 * 1024
-BYTES_PER_SLICE = 128 * 1024 * 1024
+# Session setting: how many rows an ordered slice holds, about.
+ROWS_PER_SLICE = "gaugework.rowsPerSlice"
+DEFAULT_ROWS_PER_SLICE = 1_000_000
 
 
 def build_session(name: str = "gaugework", cores: int | str = "*") -> SparkSession:
@@ -29,42 +28,16 @@ def build_session(name: str = "gaugework", cores: int | str = "*") -> SparkSessi
     )
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """Bytes all scans below this plan may read, from the statistics of its leaves."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the whole input is small, so no single group can be large.
-
-    The operators here never multiply rows beyond what one input row holds, so
-    a bound on the scanned bytes bounds every group.
-    """
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_BYTES, str(DEFAULT_SINGLE_TASK_BYTES)))
-    return scanned_bytes(df) <= limit
+def slice_count(kept: DataFrame) -> int:
+    """Number of ordered slices for rows that are already in a table, so counting them is cheap."""
+    limit = int(kept.sparkSession.conf.get(ROWS_PER_SLICE, str(DEFAULT_ROWS_PER_SLICE)))
+    return max(1, -(-kept.count() // limit))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input to all cores before costly per-row work.
-
-    A small file is often one row group and so one task.  Large inputs come in
-    many splits already and are left as they are, without a shuffle.
-    """
-    if not fits_one_task(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def slice_count(df: DataFrame) -> int:
-    """Number of ordered slices: one per BYTES_PER_SLICE, at least the shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = scanned_bytes(df)
-    if size >= 1 << 60:  # no statistics for this input
-        return width
-    return max(width, -(-size // BYTES_PER_SLICE))
+    """Give an input with fewer partitions than cores to all of them before costly per-row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,7 +2,7 @@
 
 import sys
 
-from gaugework.session import SINGLE_TASK_BYTES, build_session
+from gaugework.session import ROWS_PER_SLICE, build_session
 from tests.oracle import compare, connect
 
 
@@ -19,7 +19,7 @@ def main():
     spark = build_session("check")
     spark.sparkContext.setLogLevel("ERROR")
     if sliced:
-        spark.conf.set(SINGLE_TASK_BYTES, "0")
+        spark.conf.set(ROWS_PER_SLICE, "500")
     con = connect(folder)
     bad = 0
     for name in names:

@@ -1,22 +1,19 @@
 import pytest
 
-from gaugework.session import SINGLE_TASK_BYTES, build_session
+from gaugework.session import ROWS_PER_SLICE, build_session
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", 8)
     session.sparkContext.setLogLevel("ERROR")
-    # Fixture frames carry no statistics; the sliced forms have tests of their own.
-    session.conf.set(SINGLE_TASK_BYTES, str(1 << 63))
     yield session
     session.stop()
 
 
 @pytest.fixture
 def sliced(spark):
-    """Forces the forms that are used when an input may be large."""
-    before = spark.conf.get(SINGLE_TASK_BYTES)
-    spark.conf.set(SINGLE_TASK_BYTES, "0")
+    """Cuts even small frames into many slices."""
+    spark.conf.set(ROWS_PER_SLICE, "100")
     yield spark
-    spark.conf.set(SINGLE_TASK_BYTES, before)
+    spark.conf.unset(ROWS_PER_SLICE)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import ordered
 from gaugework.operators.hot_keys import lookup
+from gaugework.session import ROWS_PER_SLICE, materialize, slice_count
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def rows():
     rng = random.Random(7)
     out = []
     for n in range(3000):
-        key = "hot" if rng.random() < 0.6 else f"k{rng.randrange(40)}"
+        key = "hot" if rng.random() < 0.9 else f"k{rng.randrange(40)}"
         out.append((key, n, float(rng.randrange(500)) if rng.random() < 0.95 else None, rng.random() < 0.01))
     out.append(("empty", 3000, None, False))
     return out
@@ -33,6 +34,14 @@ def by_key(rows):
     return groups
 
 
+def test_slices_follow_the_rows(frame, rows):
+    kept = materialize(frame)
+    assert slice_count(kept) == -(-len(rows) // 100)
+    assert slice_count(kept.limit(5)) == 1
+    sizes = ordered.ordered_slices(frame, ["key"], [F.col("n")]).groupBy("key", ordered.SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] < 300 < sum(r[0] == "hot" for r in rows)
+
+
 def test_number_rows(frame, rows):
     out = ordered.number_rows(frame, ["key"], [F.col("n")], "pos").collect()
     want = {(k, r[1]): i + 1 for k, g in by_key(rows).items() for i, r in enumerate(g)}
@@ -62,22 +71,12 @@ def test_previous_and_running(frame, rows):
             incl[(k, r[1])] = found
     assert {(r.key, r.n): r.seen for r in seen} == incl
     assert {(r.key, r.n): r.seen for r in before} == excl
-    total = ordered.running_sum(frame, ["key"], [F.col("n")], "n", "total").collect()
-    sums = {}
-    for k, g in by_key(rows).items():
-        acc = 0
-        for r in g:
-            acc += r[1]
-            sums[(k, r[1])] = acc
-    assert {(r.key, r.n): r.total for r in total} == sums
-
 
-@pytest.mark.parametrize("plain", [True, False])
-def test_percentiles(spark, frame, rows, plain):
-    if plain:
-        from gaugework.session import SINGLE_TASK_BYTES
 
-        spark.conf.set(SINGLE_TASK_BYTES, str(1 << 63))
+@pytest.mark.parametrize("whole", [True, False])
+def test_percentiles(spark, frame, rows, whole):
+    if whole:
+        spark.conf.unset(ROWS_PER_SLICE)
     out = ordered.exact_percentiles(
         frame, ["key"], "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, [F.count("*").alias("rows")]
     ).collect()
