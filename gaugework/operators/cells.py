@@ -17,7 +17,7 @@ def contributor_medians(
 ) -> DataFrame:
     """One median per (cell, contributor), with the number of runs behind it."""
     return exact_median(
-        runs, [*cell, contributor], value, "contributor_value", [F.count(value).alias("runs")]
+        runs, [*cell, contributor], value, "contributor_value", {"runs": (F.count(value), F.sum)}
     )
 
 
@@ -28,10 +28,7 @@ def weighted_cells(medians: DataFrame, cell: Sequence[str]) -> DataFrame:
         cell,
         "contributor_value",
         "value",
-        [
-            F.count("contributor_value").alias("contributors"),
-            F.sum("runs").alias("runs"),
-        ],
+        {"contributors": (F.count("contributor_value"), F.sum), "runs": (F.sum("runs"), F.sum)},
     )
 
 
@@ -84,10 +81,7 @@ def relative_variation(medians: DataFrame, cell: Sequence[str], contributor: str
         cell,
         "contributor_value",
         "centre",
-        [
-            F.count(value).alias("contributors"),
-            F.bool_and(value == 0).alias("_all_zero"),
-        ],
+        {"contributors": (F.count(value), F.sum), "_all_zero": (F.bool_and(value == 0), F.bool_and)},
     )
     distances = lookup(medians, centres, cell, "inner", [contributor]).withColumn(
         "_distance", F.abs(value - F.col("centre"))
@@ -97,11 +91,7 @@ def relative_variation(medians: DataFrame, cell: Sequence[str], contributor: str
         cell,
         "_distance",
         "_mad",
-        [
-            F.max("centre").alias("centre"),
-            F.max("contributors").alias("contributors"),
-            F.max("_all_zero").alias("_all_zero"),
-        ],
+        {n: (F.max(n), F.max) for n in ("centre", "contributors", "_all_zero")},
     )
     percent = (
         F.when(F.col("contributors") < 2, F.lit(None))

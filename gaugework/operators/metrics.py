@@ -65,7 +65,7 @@ def result_values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         [*keys, "metric_id"],
         "metric_value",
         "_median",
-        [F.count("metric_value").alias("eligible_attempts"), F.max("metric_value").alias("_max")],
+        {"eligible_attempts": (F.count("metric_value"), F.sum), "_max": (F.max("metric_value"), F.max)},
     )
     value = F.when(F.col("metric_id").isin(maxima), F.col("_max")).otherwise(F.col("_median"))
     return summary.select(*keys, "metric_id", value.alias("value"), "eligible_attempts")
@@ -117,7 +117,7 @@ def medians_by_generation(
     df: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:
     """The median under each generation's minimum number of values."""
-    summary = exact_median(df, keys, value, "_median", [F.count(value).alias("values")])
+    summary = exact_median(df, keys, value, "_median", {"values": (F.count(value), F.sum)})
     return summary.select(
         *keys,
         "values",

@@ -12,7 +12,7 @@ make one slice need no shuffle and have their label by themselves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,9 @@ from gaugework.session import materialize, slice_count
 
 SLICE = "_slice"
 
+# Further aggregates by name: one over rows, and the function that merges its partial results.
+Also = dict[str, tuple[Column, Callable[[str], Column]]]
+
 
 def _over(keys: Sequence[str], order: Sequence[Column]):
     return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
@@ -146,17 +149,20 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     fractions: dict[str, float],
-    also: Sequence[Column] = (),
+    also: Also | None = None,
 ) -> DataFrame:
     """One row per key with exact, linearly interpolated percentiles of `value`.
 
-    Keys whose values are all null keep a row with null percentiles.  `also`
-    takes further aliased aggregates (mergeable ones: count, sum, max_by, ...).
+    Keys whose values are all null keep a row with null percentiles.  The input
+    is read once: everything else works on its distinct (key, value) rows.
     """
+    also = also or {}
     number = F.col(value).cast("double")
-    counted = df.groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_n"))
-    present = counted.where(F.col("_v").isNotNull())
-    sliced = ordered_slices(present, keys, [F.col("_v")])
+    counted = df.groupBy(*keys, number.alias("_v")).agg(
+        F.count("*").alias("_n"), *[first.alias(f"_also_{n}") for n, (first, _) in also.items()]
+    )
+    distinct = ordered_slices(counted, keys, [F.col("_v")])
+    sliced = distinct.where(F.col("_v").isNotNull())
     totals = sliced.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_rows"))
     everything = Window.partitionBy(*keys) if keys else Window.partitionBy()
     spans = totals.select(
@@ -188,19 +194,18 @@ def exact_percentiles(
         aggregates += [at(low).alias(f"_lo_{n}"), at(high).alias(f"_hi_{n}")]
     found = picked.groupBy(*keys).agg(*aggregates)
     result = _interpolated(found, keys, fractions, [])
-    # Keys without any value, and the further aggregates, come from one more
-    # map-side combined aggregation.
-    rest = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *also)
+    rest = distinct.groupBy(*keys).agg(
+        F.sum("_n").alias("_rows"), *[merge(f"_also_{n}").alias(n) for n, (_, merge) in also.items()]
+    )
     if not keys:
         return beside(rest.drop("_rows"), result)
     renamed = result.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *fractions)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys])
-    extras = [c for c in rest.columns if c not in (*keys, "_rows")]
-    return rest.join(renamed, same, "left").select(*keys, *fractions, *extras)
+    return rest.join(renamed, same, "left").select(*keys, *fractions, *also)
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, also: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], value: str, name: str, also: Also | None = None
 ) -> DataFrame:
     return exact_percentiles(df, keys, value, {name: 0.5}, also)
 

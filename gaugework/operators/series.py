@@ -55,7 +55,7 @@ def interval_percentiles(
         keys,
         "_gap",
         {"p50": 0.5, "p95": 0.95, "p99": 0.99},
-        [F.count("*").alias("intervals")],
+        {"intervals": (F.count("*"), F.sum)},
     )
 
 

@@ -286,7 +286,7 @@ def legacy_recompute(spark, sf):
         ["o_orderkey"],
         "l_extendedprice",
         "m",
-        [F.count("*").alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("failed_check")],
+        {"n": (F.count("*"), F.sum), "failed_check": (F.bool_or(F.col("l_returnflag") == "R"), F.bool_or)},
     )
     both = t.orders.join(raw, "o_orderkey", "left")
     applies = (F.col("o_orderstatus") == "P") & F.coalesce("failed_check", F.lit(False))
@@ -328,10 +328,10 @@ def input_length_medians(spark, sf):
         keys,
         "n_chars",
         "median_chars",
-        [
-            F.count("*").alias("attempts"),
-            F.count_if(F.col("n_chars") == F.col("measured")).alias("count_matches"),
-        ],
+        {
+            "attempts": (F.count("*"), F.sum),
+            "count_matches": (F.count_if(F.col("n_chars") == F.col("measured")), F.sum),
+        },
     )
     tails = exact_percentiles(points, keys, "measured", {"p95_chars": 0.95})
     return medians.join(tails, keys).select(

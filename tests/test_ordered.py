@@ -78,7 +78,7 @@ def test_percentiles(spark, frame, rows, whole):
     if whole:
         spark.conf.unset(ROWS_PER_SLICE)
     out = ordered.exact_percentiles(
-        frame, ["key"], "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, [F.count("*").alias("rows")]
+        frame, ["key"], "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, {"rows": (F.count("*"), F.sum)}
     ).collect()
     assert len(out) == len(by_key(rows))
     for r in out:
