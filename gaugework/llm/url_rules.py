@@ -74,15 +74,17 @@ def mine_rules(
 
     `labelled` (tokens, verdict) is mined by FP-growth with the verdict as one
     more item, so a set's support with and without it gives the confidence.
-    Support counts rows; a rule is dropped when a shorter one with the same
-    verdict, whose tokens it holds, is as sure.  An empty input gives no rule.
+    Rows with a null verdict have no such item: they count in the supports that
+    a confidence is divided by, so a rule isn't sure of what it never saw
+    decided.  Support counts rows; a rule is dropped when a shorter one with the
+    same verdict, whose tokens it holds, is as sure.  Without a verdict there is
+    no rule.
     """
     mark = "verdict "
     spark = labelled.sparkSession
-    baskets = labelled.where("verdict is not null").select(
-        F.concat("tokens", F.array(F.concat(F.lit(mark), "verdict"))).alias("items")
-    )
-    if baskets.isEmpty():
+    said = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(mark), "verdict")))
+    baskets = labelled.select(F.concat("tokens", F.coalesce(said, F.array().cast("array<string>"))).alias("items"))
+    if labelled.where("verdict is not null").isEmpty():
         return spark.createDataFrame([], "tokens array<string>, verdict string, support bigint, confidence double")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0, numPartitions=width).fit(baskets)
@@ -157,7 +159,8 @@ def judge_urls(
     """(id, host, path, rule, verdict) for every page.
 
     URLs that a listed rule fits have its verdict and are the labels: mined
-    rules carry what they have in common to the others.  These are reduced to
+    rules carry what they have in common to the others, which count as undecided
+    in support and confidence.  These are reduced to
     tokens that occur in some mined rule, so the rules are matched once for
     each combination of such tokens.  Without a mined rule that fits, a URL is
     allowed.  A null URL, or one without ://, has an empty host and path.
@@ -168,7 +171,7 @@ def judge_urls(
     ).withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
     found = materialize(
         mine_rules(
-            rows.where("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict")),
+            rows.select("tokens", F.col("listed.verdict").alias("verdict")),
             min_support,
             min_confidence,
         )

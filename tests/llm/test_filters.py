@@ -315,3 +315,14 @@ def test_odd_urls(spark):
     assert got == sorted((plain_rule(r[1])[:3] for r in rows), key=str)
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_rules.judge_urls(pages.where("page_id < 3")).collect()} == {"allow"}
+
+
+def test_undecided_urls_count_in_the_confidence_of_mined_rules(spark):
+    urls = [f"http://a.net/es/{i}" for i in range(20)] + [f"http://a.net/en/{i}" for i in range(20)]
+    urls += [f"http://b.net/fr/{i}?spam=1" for i in range(19)] + ["http://b.org/xx/1?spam=1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages).collect()}
+    # net is blocked 39 times of 59 and says nothing; spam 19 times of 20
+    assert all(rows[i] == ("net/es/", "block") for i in range(20))
+    assert all(rows[i] == (None, "allow") for i in range(20, 40))
+    assert rows[59] == (None, "block")
