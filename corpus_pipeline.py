@@ -10,8 +10,10 @@ from gaugework.llm.batches import materialize
 from gaugework.llm.queries import BYTE_BPE, learned_languages
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# Under this probability the best language is no better than a guess.
+# Under this probability the best language is no better than a guess: 1.2 times the
+# share that each language has by chance, for four languages and more.
 LEAST_SCORE = 0.3
+LEAST_OVER_CHANCE = 1.2
 REPLACEMENT = "[secret]"
 
 
@@ -27,16 +29,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language; `lang` stays as it came."""
+    """Keeps documents whose text has a language; `lang` stays as it came.
+
+    If no row teaches a language, no text can be told to have none, so all that
+    have a letter are kept.
+    """
     model = learned_languages(docs)
+    if not model.languages:
+        return _kept(docs, lambda rows: langid.lettered(rows, ["row"]).where("lettered"))
+    least = least_score(len(model.languages))
     return _kept(
         docs,
         lambda rows: langid.identify(rows, model, ["row"]).where(
-            (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+            (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)
         ),
     )
 
 
+def least_score(languages: int) -> float:
+    return min(LEAST_SCORE, LEAST_OVER_CHANCE / languages)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group of near-duplicates."""
     return _kept(docs, lambda rows: simhash.near_duplicates(rows, "row").where("row = component_id"))

@@ -227,3 +227,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str | Column] = ("doc_id"
         return work
 
     return map_texts(docs, list(keep), text_col, "lang_pred string, score double", make)
+
+
+def lettered(docs: DataFrame, keep: list[str | Column] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(kept columns, lettered): whether a text has a letter, as `identify` needs one."""
+
+    def make():
+        return lambda texts, _: {"lettered": [ngrams(t) is not None for t in texts]}
+
+    return map_texts(docs, list(keep), text_col, "lettered boolean", make)

@@ -1,5 +1,7 @@
 """The corpus pipeline: each stage on what the one before kept."""
 
+import zlib
+
 import pytest
 
 import corpus_pipeline
@@ -67,3 +69,32 @@ def test_null_and_repeated_rows(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         out.collect()
     assert corpus_pipeline.simhash_near_dedup(spark, docs, FOLDER).count() == 2
+
+
+COLUMN_TYPES = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def language_rows(spark, ids, lang):
+    texts = ["some words of a text", "other words here", "1 2 3 !", "", None]
+    rows = [(i, t, lang, "s", len(t or "")) for i, t in zip(ids, texts)]
+    return spark.createDataFrame(rows, COLUMN_TYPES)
+
+
+@pytest.mark.parametrize(
+    ("ids", "lang"),
+    [
+        ([1, 2, 3, 4, 5], None),
+        ([None] * 5, "en"),
+        # all in the fold that is held out
+        ([i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2][:5], "en"),
+    ],
+)
+def test_without_a_learned_language_texts_with_letters_stay(spark, ids, lang):
+    left = corpus_pipeline.language_id(spark, language_rows(spark, ids, lang), FOLDER).collect()
+    assert sorted(r.text for r in left) == ["other words here", "some words of a text"]
+    assert {r.lang for r in left} == {lang}
+
+
+def test_least_score_falls_with_the_number_of_languages():
+    assert [corpus_pipeline.least_score(n) for n in (1, 2, 4)] == [0.3] * 3
+    assert all(1 / n < corpus_pipeline.least_score(n) < 1.3 / n for n in (5, 20, 200))
