@@ -18,7 +18,7 @@ from gaugework.llm.vocabulary import Vocabulary, WordIds
 WINDOW = 1024
 END = 0
 # Tails that one index holds: about this many tokens, whatever the table's size.
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 20
 # Tokens of tails that one task packs, shard after shard.
 TASK_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
@@ -218,6 +218,8 @@ def pack(
     frequencies and average length are those of all tails), and each seed's
     best unused neighbours fill its window.  The open window of a shard is
     carried into the next one, so only the last sequence of a task is short.
+    Neighbours are the best of the seed's shard, not of the table: what lies in
+    another shard is no candidate (the README has the share that is lost).
 
     A null text is an empty document of one id.  Repeated rows are documents of
     their own; a null id stays null; an empty table gives no row.  With `ids`

@@ -166,3 +166,30 @@ def test_neighbours_come_in_order_of_bm25():
     best = shard.scores(0)
     best[0] = -1
     assert windows[0][1][0] == int(best.argmax())
+
+
+def test_neighbours_used_are_the_best_of_all_tails_up_to_a_million_tokens(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(3, 7))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(100, 300)))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = sorted(packing.pack(docs, queries.BYTE_BPE, ids=True).collect(), key=lambda p: (p.doc_id, p.start))
+    parts = {}
+    for p in pieces:
+        parts.setdefault(p.doc_id, []).append(np.frombuffer(p.ids, "<u4"))
+    tails = [np.concatenate(parts[i]) for i in range(len(rows))]
+    assert max(map(len, tails)) < packing.WINDOW and 1.2 * (1 << 19) < sum(map(len, tails)) < 1 << 20
+    seen = np.bincount(np.concatenate([np.unique(t) for t in tails]))
+    average = np.mean([len(t) for t in tails])
+    everything = packing.Shard(tails, np.log(1 + (len(tails) - seen + 0.5) / (seen + 0.5)), average)
+    sequences = {}
+    for p in sorted(pieces, key=lambda p: p.offset):
+        sequences.setdefault(p.sequence_id, []).append(p)
+    met = []
+    for _, own in sorted(sequences.items()):
+        everything.unused[own[0].doc_id] = False
+        for near in own[1:]:
+            scores = everything.scores(own[0].doc_id, own[0].start)
+            met.append(scores[near.doc_id] >= scores.max() - 1e-9)
+            everything.unused[near.doc_id] = False
+    assert len(met) > 500 and np.mean(met) == 1
