@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugework.llm import (
     bpe,
     langid,
+    mixing,
     packing,
     quality,
     secret_scan,
@@ -115,3 +116,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), WORD_BPE)
+
+
+@_query
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.plan_copies(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
