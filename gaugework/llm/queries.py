@@ -14,6 +14,7 @@ from gaugework.llm import (
     mixing,
     packing,
     quality,
+    ranked_search,
     secret_scan,
     simhash,
     token_counts,
@@ -118,6 +119,42 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), WORD_BPE)
 
 
+@_query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+ORACLE_SQL["op12_ranked_search"] = """
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+'))) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM words) GROUP BY row, term),
+dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE len(w) > 0),
+lengths AS (
+  SELECT row, doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM words, totals WHERE len(w) > 0),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM dfs, totals),
+scored AS (
+  SELECT i.item, i.item_id, l.row, l.doc_id,
+    sum(w.weight * ((1000000000 * c.tf) // (1000 * c.tf + 8 * l.m)))::BIGINT AS score
+  FROM items i JOIN weights w USING (term) JOIN counts c USING (term) JOIN lengths l USING (row)
+  GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+    doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @_query
 def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.plan_copies(_table(spark, folder, "documents"))
