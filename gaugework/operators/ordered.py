@@ -73,6 +73,21 @@ def number_rows(
     )
 
 
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sums: dict[str, str]
+) -> DataFrame:
+    """`number_rows`, and for each {new name: column} the sum of the column up to this row."""
+    sliced = ordered_slices(df, keys, order)
+    totals = {name: F.lit(1), **{n: F.coalesce(F.col(c), F.lit(0)) for n, c in sums.items()}}
+    parts = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    carry = parts.select(
+        *keys, SLICE, *[F.sum(f"_{n}").over(_earlier(keys)).alias(f"_before_{n}") for n in totals]
+    )
+    inside = _over([*keys, SLICE], order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = {n: F.coalesce(f"_before_{n}", F.lit(0)) + F.sum(c).over(inside) for n, c in totals.items()}
+    return _attach(sliced, carry, keys).select(*df.columns, *[c.alias(n) for n, c in upto.items()])
+
+
 def running_any(
     df: DataFrame,
     keys: Sequence[str],
