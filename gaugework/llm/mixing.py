@@ -52,7 +52,9 @@ def source_targets(sources: DataFrame, weights: Sequence[int], most: float) -> D
     words is found by Newton's steps on that piecewise linear sum: each is one
     aggregation, and each puts at least one more source at its limit.
     """
-    ordered = number_rows(sources, [], [F.col("source").asc_nulls_last()], "number")
+    # A key of its own for all rows: positions join by key and slice.
+    whole = sources.withColumn("table", F.lit(0))
+    ordered = number_rows(whole, ["table"], [F.col("source").asc_nulls_last()], "number").drop("table")
     turn = F.array(*[F.lit(int(w)) for w in weights])
     table = materialize(
         ordered.withColumn("weight", F.element_at(turn, ((F.col("number") - 1) % len(weights) + 1).cast("int")))
