@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import (
     bpe,
+    conversation_trie,
     langid,
     mixing,
     packing,
@@ -119,6 +120,55 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), WORD_BPE)
 
 
+@_query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(_table(spark, folder, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.share_openings(turns))
+
+
+# CRC-32 of the decimal id, bit by bit.
+_CRC_STEP = "CASE WHEN i % 8 = 0 THEN xor(a, ascii((conv_id::VARCHAR)[i // 8 + 1])) ELSE a END"
+ORACLE_SQL["op11_conversation_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS tid,
+    strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, max(pos) AS n,
+    xor(list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length(conv_id::VARCHAR))), lambda a, i:
+      CASE WHEN ({_CRC_STEP}) % 2 = 1 THEN xor(({_CRC_STEP}) >> 1, 3988292384) ELSE ({_CRC_STEP}) >> 1 END),
+      4294967295) % 9 AS h
+  FROM turns GROUP BY conv_id),
+openings AS (
+  SELECT c.conv_id, c.h, coalesce(least(c.h, b.n), 0) AS k, c.conv_id - c.conv_id % 5 AS base
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+rebuilt AS (
+  SELECT o.conv_id, t.pos, t.tid, t.bytes FROM openings o JOIN turns t ON t.conv_id = o.base AND t.pos <= o.h
+  UNION ALL
+  SELECT o.conv_id, o.k + t.pos - o.h, t.tid, t.bytes FROM openings o JOIN turns t USING (conv_id) WHERE t.pos > o.h),
+paths AS (
+  SELECT conv_id, list(tid ORDER BY pos) AS path, list(bytes ORDER BY pos) AS sizes FROM rebuilt GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, [], [] FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM rebuilt)),
+prefixes AS (
+  SELECT conv_id, len(path) AS own, d, path[1:d] AS p, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE own = d), '') AS ends
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (p)),
+sums AS (
+  SELECT a.p, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens
+  FROM counted a JOIN counted b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+  sha256(n.ends) AS ends_sha256
+FROM counted n JOIN sums s USING (p) LEFT JOIN nodes u ON n.d > 0 AND u.p = n.p[1:n.d - 1] AND u.d = n.d - 1
+"""
+
+
 @_query
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
