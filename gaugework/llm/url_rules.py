@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,13 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))))
 
 
+def list_tokens(rules: tuple = LISTED) -> list[str]:
+    """The tokens that the listed rules' own conditions are made of."""
+    hosts = [f"host {label}" for _, host, _ in rules for label in host.split(".")]
+    words = [f"path {re.sub(r'[0-9]+', '0', word)}" for _, _, path in rules for word in path.split("/") if word]
+    return sorted({*hosts, *words})
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
@@ -160,14 +169,20 @@ def judge_urls(
 
     URLs that a listed rule fits have its verdict and are the labels: mined
     rules carry what they have in common to the others, which count as undecided
-    in support and confidence.  These are reduced to
-    tokens that occur in some mined rule, so the rules are matched once for
-    each combination of such tokens.  Without a mined rule that fits, a URL is
-    allowed.  A null URL, or one without ://, has an empty host and path.
+    in support and confidence.  Tokens of the listed rules' own conditions are
+    left out, since a rule of them says again what the list says.  URLs are
+    reduced to tokens that occur in some mined rule, so the rules are matched
+    once for each combination of such tokens.  Without a mined rule that fits, a
+    URL is allowed.  A null URL, or one without ://, has an empty host and path;
+    repeated rows count as often as they come.
     """
     url = pages[url_col]
+    own = F.array(*map(F.lit, list_tokens(rules))) if rules else F.array().cast("array<string>")
     rows = pages.select(
-        pages[id_col].alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens")
+        pages[id_col].alias("id"),
+        host_of(url).alias("host"),
+        path_of(url).alias("path"),
+        F.array_except(url_tokens(url), own).alias("tokens"),
     ).withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
     found = materialize(
         mine_rules(
