@@ -13,11 +13,15 @@ from gaugework.operators.ordered import exact_median, last_rows, number_rows
 
 
 def contributor_medians(
-    runs: DataFrame, cell: Sequence[str], contributor: str, value: str
+    runs: DataFrame, cell: Sequence[str], contributor: str, value: str, count: str | None = None
 ) -> DataFrame:
-    """One median per (cell, contributor), with the number of runs behind it."""
+    """One median per (cell, contributor), with the number of runs behind it.
+
+    `count` names a column that says how many runs a row stands for.
+    """
+    number = F.count(value) if count is None else F.sum(F.when(F.col(value).isNotNull(), F.col(count)))
     return exact_median(
-        runs, [*cell, contributor], value, "contributor_value", {"runs": (F.count(value), F.sum)}
+        runs, [*cell, contributor], value, "contributor_value", {"runs": (number, F.sum)}, count
     )
 
 

@@ -165,16 +165,19 @@ def exact_percentiles(
     value: str,
     fractions: dict[str, float],
     also: Also | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per key with exact, linearly interpolated percentiles of `value`.
 
     Keys whose values are all null keep a row with null percentiles.  The input
     is read once: everything else works on its distinct (key, value) rows.
+    `count` names a column that says how often a row counts; once by default.
     """
     also = also or {}
     number = F.col(value).cast("double")
     counted = df.groupBy(*keys, number.alias("_v")).agg(
-        F.count("*").alias("_n"), *[first.alias(f"_also_{n}") for n, (first, _) in also.items()]
+        (F.sum(count) if count else F.count("*")).alias("_n"),
+        *[first.alias(f"_also_{n}") for n, (first, _) in also.items()],
     )
     distinct = ordered_slices(counted, keys, [F.col("_v")])
     sliced = distinct.where(F.col("_v").isNotNull())
@@ -220,9 +223,14 @@ def exact_percentiles(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, also: Also | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str,
+    also: Also | None = None,
+    count: str | None = None,
 ) -> DataFrame:
-    return exact_percentiles(df, keys, value, {name: 0.5}, also)
+    return exact_percentiles(df, keys, value, {name: 0.5}, also, count)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -307,29 +307,35 @@ def comparison_identity() -> Column:
     return identity_json(plain, fragments)
 
 
+def _repeated(digests: DataFrame, accepted_digests: DataFrame | None) -> DataFrame:
+    """Packages whose digest an earlier one has; the documents stay out of this shuffle."""
+    seen = number_rows(digests, ["result_sha256"], [F.col("package_id")], "_use")
+    if accepted_digests is not None:
+        known = accepted_digests.select("result_sha256").distinct().withColumn("_known", F.lit(True))
+        seen = lookup(seen, known, ["result_sha256"], "left", ["package_id"])
+    else:
+        seen = seen.withColumn("_known", F.lit(None).cast("boolean"))
+    return seen.where((F.col("_use") > 1) | F.col("_known")).select("package_id")
+
+
 def decide(
     packages: DataFrame,
     models: DataFrame,
     trusted: Trusted,
     accepted_digests: DataFrame | None = None,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """One decision row per package, rejected ones included.
 
     models: entry_id, sha256, artifact_id, artifact_revision, parameter_count,
     quantization, format.  accepted_digests: result_sha256 of earlier intakes.
+    repeated: package_id of the packages whose digest is known to be taken; they
+    are looked for here if none are given.
     """
     parsed = parse_packages(packages)
-    # The duplicate rule needs only (package, digest); the documents stay out of its shuffle.
-    digests = parsed.select("package_id", "result_sha256")
-    seen = number_rows(digests, ["result_sha256"], [F.col("package_id")], "_use")
-    if accepted_digests is not None:
-        known = accepted_digests.select("result_sha256").distinct().withColumn("_known", F.lit(True))
-        seen = lookup(seen, known, ["result_sha256"], "left", ["package_id"])
-    else:
-        seen = seen.withColumn("_known", F.lit(None).cast("boolean"))
-    repeated = seen.where((F.col("_use") > 1) | F.col("_known")).select(
-        "package_id", F.lit(True).alias("duplicate")
-    )
+    if repeated is None:
+        repeated = _repeated(parsed.select("package_id", "result_sha256"), accepted_digests)
+    repeated = repeated.select("package_id", F.lit(True).alias("duplicate"))
     registry = models.select(
         F.col("entry_id"), F.struct(*[c for c in models.columns if c != "entry_id"]).alias("known_model")
     )
