@@ -6,7 +6,9 @@ from gaugework.plans import evidence_ranking as ranking
 from gaugework.plans.triage import scope, triage
 from gaugework.sources import packages as source
 from gaugework.sources.sinks import split_append
+from gaugework import rules
 from gaugework.streaming import intake
+from gaugework.streaming.first_wins import claim, large_state
 from gaugework.streaming.live_metrics import live_attempt_metrics, session_summaries
 from tests import builders
 
@@ -110,3 +112,101 @@ def test_batch_scope_and_class(spark):
     assert "non-result-only-change" in found["edited"].errors
     assert "invalid-submission-directory-name" in found["bad-name"].errors
     assert all(found[b].classification == "rejected" for b in ("half", "many", "edited", "bad-name"))
+
+
+def _claims(spark, landing, folder):
+    """Runs the waiting files one a batch and returns the flags, by package, of every batch."""
+    stream = (
+        spark.readStream.schema("result_sha256 string, package_id string, n int")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(landing)
+    )
+    with large_state(spark):
+        query = (
+            claim(stream, "result_sha256")
+            .writeStream.foreachBatch(
+                lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+            )
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("batch", "package_id", "result_sha256", "n", "duplicate").collect()
+
+
+def test_claims_are_kept_over_batches_restarts_and_replays(spark, tmp_path):
+    landing, folder = str(tmp_path / "landing"), str(tmp_path / "claims")
+    batches = [
+        [("a", "p2", 0), ("a", "p1", 1), ("b", "p3", 2), (None, "p4", 3)],
+        [("b", "p0", 4), ("c", "p5", 5), (None, "p0", 6), ("d", None, 7), ("d", "p6", 8)],
+        [("hot", f"q{n:05d}", n) for n in range(5000, 0, -1)] + [("a", "p1", 9)],
+    ]
+    taken, want = set(), {}
+    for rows in batches:
+        spark.createDataFrame(rows, "result_sha256 string, package_id string, n int").coalesce(1).write.mode(
+            "append"
+        ).parquet(landing)
+        got = _claims(spark, landing, folder)  # a restart for every batch
+        for digest in {d for d, _, _ in rows}:
+            own = sorted((p or "", n) for d, p, n in rows if d == digest)
+            for place, (_, n) in enumerate(own):
+                want[digest, n] = digest in taken or place > 0
+        taken |= {d for d, _, _ in rows}
+        assert {(r.result_sha256, r.n): r.duplicate for r in got} == want
+    last = max(int(p.name) for p in (tmp_path / "claims/progress/commits").iterdir() if p.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):  # the batch ran, and was not noted
+        (tmp_path / "claims/progress/commits" / name).unlink(missing_ok=True)
+    assert sorted(map(str, _claims(spark, landing, folder))) == sorted(map(str, got))
+
+
+def _contributions(batch):
+    rows = []
+    for n in range(30):
+        cell = (batch * 7 + n * n) % (5 if n % 3 else 40)
+        workload, metric = [(w, m) for _, w, m in rules.VIEWS][cell % len(rules.VIEWS)]
+        who = f"user{(n + batch) % 6}"
+        rows.append((f"p{batch}-{n}", "x", workload, who, who, f"cell{cell}", metric, float((n * 37 + batch * 11) % 17)))
+    return rows
+
+
+def test_live_cells_equal_the_batch_ranking_after_ten_batches(spark, tmp_path):
+    folder, landed = str(tmp_path), []
+    for batch in range(10):
+        rows = _contributions(batch)
+        landed += rows
+        frame = spark.createDataFrame(rows, intake.CONTRIBUTION_COLUMNS)
+        intake.refresh_cells(frame, batch, folder)
+        if batch in (4, 7):
+            intake.refresh_cells(frame, batch, folder)  # a replay
+            intake.compact(spark, folder, batch)
+        if batch in (3, 5, 9):
+            everything = spark.createDataFrame(landed, intake.CONTRIBUTION_COLUMNS)
+            want = _rows(ranking.ranked_views(everything), VIEW)
+            assert want and _rows(intake.live_ranking(spark, folder), VIEW) == want
+
+
+def test_a_batch_opens_only_the_buckets_of_its_cells(spark, tmp_path):
+    folder = str(tmp_path)
+    for batch in range(3):
+        intake.refresh_cells(spark.createDataFrame(_contributions(batch), intake.CONTRIBUTION_COLUMNS), batch, folder)
+    log = intake.run_log(spark, folder)
+    intake.compact(spark, folder, 1)
+    one = spark.createDataFrame(_contributions(0)[:1], intake.CONTRIBUTION_COLUMNS)
+    touched = log.touched(one)
+    assert len(touched) == 1
+    opened = log.read(2, touched).inputFiles()
+    assert opened and all(f"/bucket={touched[0]}/" in path for path in opened)
+    assert any("/base/through=1/" in path for path in opened)
+    assert len(log.read(2).inputFiles()) > 10 * len(opened)
+
+
+def test_an_unfinished_compaction_is_not_seen(spark, tmp_path):
+    folder = str(tmp_path)
+    intake.refresh_cells(spark.createDataFrame(_contributions(0), intake.CONTRIBUTION_COLUMNS), 0, folder)
+    before = _rows(intake.live_ranking(spark, folder), VIEW)
+    intake.compact(spark, folder, 0)
+    (tmp_path / "runs/base/through=0/_SUCCESS").unlink()
+    assert intake.run_log(spark, folder).compacted() is None
+    assert _rows(intake.live_ranking(spark, folder), VIEW) == before
+    assert intake.run_log(spark, f"{folder}/none").read().count() == 0
