@@ -298,12 +298,14 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame, container_ids: int = CONTA
         turns.join(seqs.select(F.col("rep").alias("conv_id")), "conv_id", "left_semi").withColumnRenamed("conv_id", "rep")
     )
     root = lambda c: F.lit(c).cast("long")
-    active = seqs.select(F.lit("").alias("container"), root(0).alias("depth"), root(0).alias("cum"), "rep", "members", "len", "total")
+    # Written, so that the root is a key like any other and no constant in the joins.
+    active = materialize(
+        seqs.select(F.lit("").alias("container"), root(0).alias("depth"), root(0).alias("cum"), "rep", "members", "len", "total")
+    )
+    top = active.groupBy("container").agg(F.min("rep").alias("conv_id"), F.sum("members").alias("n_convs"))
     heads = [
-        seqs.agg(F.min("rep").alias("conv_id"), F.sum("members").alias("n_convs"))
-        .where("conv_id is not null")
-        .select(
-            F.lit("").alias("container"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("long").alias("parent_conv_id"),
+        top.select(
+            "container", F.lit(None).cast("string").alias("above"), F.lit(None).cast("long").alias("parent_conv_id"),
             root(0).alias("depth"), "conv_id", "n_convs", root(0).alias("bytes"),
         )
     ]
