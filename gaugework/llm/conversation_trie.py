@@ -38,7 +38,7 @@ from gaugework.operators.hot_keys import lookup
 from gaugework.operators.ordered import running_totals
 
 # Turns below a head at which its container bursts.
-CONTAINER_IDS = 4096
+CONTAINER_IDS = 1024
 NODE = (
     "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, "
     "saved_tokens long, end_rep long"
