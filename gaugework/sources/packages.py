@@ -2,81 +2,77 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework import schemas
 from gaugework.functions.numbers import reasons
+from gaugework.sources.listing import list_entries, read_bytes
 
 PACKAGE_FILES = ("result.json", "submission.json")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below `root`; the content column is read only where it is used.
+def _in_folders(listing: DataFrame) -> DataFrame:
+    """Rows of folders and of what lies in them, with the part of the path below the folder."""
+    return listing.where(F.col("folder").isNotNull()).withColumn("direct", ~F.contains("file", F.lit("/")))
+
 
-    `folder` is the first part of the path below the root, null for a loose
-    file, and `file` is the rest, so an entry of a nested folder counts among
-    the files of the package it lies in.  Spark's sources hide names that start
-    with a dot or an underscore, and empty folders.
+def package_files(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """Completeness of every package folder: exactly the two files, hidden names counted.
+
+    A folder without files is a package too.  `listing` is what `list_entries`
+    gave for the root, if it is at hand.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    )
-    plain = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*"  # scheme and authority
-    base = re.sub(plain, "/", root).rstrip("/") + "/"
-    full = F.regexp_replace("path", plain, "/")
-    below = F.substr(full, F.locate(base, full) + F.lit(len(base)))
-    inside = F.contains(below, F.lit("/"))
-    return files.select(
-        "path",
-        "length",
-        "content",
-        F.when(inside, F.regexp_extract(below, "^[^/]*/(.*)$", 1)).otherwise(below).alias("file"),
-        F.when(inside, F.substring_index(below, "/", 1)).alias("folder"),
-    )
-
-
-def package_files(spark: SparkSession, root: str) -> DataFrame:
-    """Completeness of every package folder: exactly the two files."""
-    listing = list_files(spark, root).select("folder", "file")
-    has = lambda name: F.count_if(F.col("file") == name) == 1
-    inside = listing.where(F.col("folder").isNotNull())
-    return inside.groupBy(F.col("folder").alias("package_id")).agg(
-        F.count("*").alias("files"),
+    rows = _in_folders(list_entries(spark, root) if listing is None else listing)
+    named = lambda name: (F.col("file") == name) & (F.col("kind") == "file")
+    has = lambda name: F.count_if(named(name)) == 1
+    plain = F.col("kind").isin("folder", "empty")
+    return rows.groupBy(F.col("folder").alias("package_id")).agg(
+        F.count_if(~plain).alias("files"),
         *[(~has(f)).alias(f"missing_{f.split('.')[0]}") for f in PACKAGE_FILES],
-        ((F.count("*") == len(PACKAGE_FILES)) & has(PACKAGE_FILES[0]) & has(PACKAGE_FILES[1])).alias(
-            "file_set_valid"
+        (
+            (F.count_if("direct") == len(PACKAGE_FILES)) & has(PACKAGE_FILES[0]) & has(PACKAGE_FILES[1])
+        ).alias("file_set_valid"),
+        F.count_if(F.col("direct") & F.col("file").isin(*PACKAGE_FILES) & (F.col("kind") != "file")).alias(
+            "not_plain_files"
         ),
     )
 
 
-def unexpected_files(spark: SparkSession, root: str) -> DataFrame:
-    """Entries that belong to no package: loose files (but the README) and extra files."""
-    listing = list_files(spark, root).select("path", "folder", "file")
+def unexpected_files(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """Entries that belong to no package: loose ones (but the README) and what is extra in a package.
+
+    Hidden names, links and empty folders inside a package are entries like any other.
+    """
+    rows = list_entries(spark, root) if listing is None else listing
     loose = F.col("folder").isNull()
-    return listing.where(
-        (loose & (F.col("file") != "README.md")) | (~loose & ~F.col("file").isin(*PACKAGE_FILES))
-    ).select(
-        "path", F.when(loose, "unexpected-entry").otherwise("unexpected-package-file").alias("reason")
+    own = F.col("file").isin(*PACKAGE_FILES)
+    reason = (
+        F.when(loose & (F.col("file") != "README.md"), "unexpected-entry")
+        .when(~loose & own & (F.col("kind") != "file"), "package-entry-is-not-a-file")
+        .when(~loose & ~own & (F.col("kind") != "folder"), "unexpected-package-file")
     )
+    return rows.select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def read_packages(spark: SparkSession, root: str) -> DataFrame:
+def read_packages(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
     """One row per package with the exact bytes of both files.
 
-    Bytes are read only for the two expected names, so stray files cost a
-    listing entry and nothing else.
+    The root is listed once; names are grouped by package, and the task that
+    has a package opens its two files, so bytes are not shuffled and stray
+    files cost a listing entry and nothing else.
     """
-    listed = list_files(spark, root)
-    files = listed.where(F.col("folder").isNotNull() & F.col("file").isin(*PACKAGE_FILES))
-    content = lambda name: F.max(F.when(F.col("file") == name, F.col("content")))
-    both = files.groupBy(F.col("folder").alias("package_id")).agg(
-        content("submission.json").alias("submission"), content("result.json").alias("result")
+    listed = list_entries(spark, root) if listing is None else listing
+    rows = _in_folders(listed).where(F.col("kind") == "file")
+    at = lambda name: F.max(F.when(F.col("file") == name, F.col("path")))
+    paths = rows.groupBy(F.col("folder").alias("package_id")).agg(
+        at("submission.json").alias("submission_path"), at("result.json").alias("result_path")
+    )
+    complete = package_files(spark, root, listed).select("package_id", "file_set_valid")
+    both = complete.join(paths, "package_id", "left")
+    return read_bytes(
+        both, ["package_id", "file_set_valid"], {"submission": "submission_path", "result": "result_path"}
     )
-    complete = package_files(spark, root).select("package_id", "file_set_valid")
-    return complete.join(both, "package_id", "left")
 
 
 def with_declared_author(packages: DataFrame) -> DataFrame:
@@ -172,10 +168,11 @@ def read_reviews(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         "name_matches", F.col("name").eqNullSafe(F.col("reviewID"))
     )
     stray = (
-        list_files(spark, folder)
+        list_entries(spark, folder)
         .where(
-            F.col("folder").isNotNull()
+            F.col("folder").isNotNull() & (F.col("kind") != "folder")
             | (~F.col("file").endswith(".json") & (F.col("file") != "README.md"))
+            | (F.col("folder").isNull() & (F.col("kind") != "file"))
         )
         .select("path", F.lit("unexpected-review-entry").alias("problem"))
     )

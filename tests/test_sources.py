@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gaugework.operators.conformance import conformance_rows
 from gaugework.operators.conformance import constraints_of
+from gaugework.sources import listing
 from gaugework.sources import packages as source
 from gaugework.sources import sinks
+from gaugework.sources.listing import list_entries
 
 
 def sha(data: bytes) -> str:
@@ -148,3 +150,60 @@ def test_text_that_is_no_object(spark):
     frame = spark.createDataFrame([("[1]",), ("{bad",)], "text string")
     rows = conformance_rows(frame, ["text"], "text", constraints_of({"type": "object"})).collect()
     assert {r.message for r in rows} == {"$: not a JSON object"} and len(rows) == 2
+
+
+def test_listing_sees_hidden_names_empty_folders_and_links(spark, tmp_path):
+    root = tmp_path / "draft"
+
+    def package(name, *files):
+        (root / name).mkdir(parents=True)
+        for file in files:
+            path = root / name / file
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(f"{name}/{file}")
+
+    both = ("result.json", "submission.json")
+    package("good", *both)
+    package("hidden", *both, ".DS_Store")
+    package("marked", *both, "_notes.md")
+    package("nested", *both, "sub/deep/result.json")
+    package("hollow", *both)
+    (root / "hollow" / "sub").mkdir()
+    package("empty")
+    package(".quiet", *both)
+    package("_half", "result.json")
+    package("linked", "result.json")
+    (root / "linked" / "submission.json").symlink_to(root / "good" / "submission.json")
+    (root / ".loose").write_text("x")
+    (root / "README.md").write_text("x")
+    found = list_entries(spark, str(root), folders_per_task=2)
+    assert found.count() == len({(r.folder, r.file) for r in found.collect()})
+    valid = {r.package_id: r.file_set_valid for r in source.package_files(spark, str(root), found).collect()}
+    assert valid == {
+        "good": True, ".quiet": True, "hidden": False, "marked": False, "nested": False, "hollow": False,
+        "empty": False, "_half": False, "linked": False,
+    }
+    stray = {r.path.removeprefix(f"{root}/"): r.reason for r in source.unexpected_files(spark, str(root), found).collect()}
+    extra = "unexpected-package-file"
+    assert stray == {
+        ".loose": "unexpected-entry", "hidden/.DS_Store": extra, "marked/_notes.md": extra,
+        "nested/sub/deep/result.json": extra, "hollow/sub": extra, "linked/submission.json": "package-entry-is-not-a-file",
+    }
+    rows = {r.package_id: r for r in source.read_packages(spark, f"file://{root}", None).collect()}
+    assert rows.keys() == valid.keys()
+    assert bytes(rows[".quiet"].result) == b".quiet/result.json" and bytes(rows["hidden"].submission) == b"hidden/submission.json"
+    assert rows["empty"].result is None and rows["_half"].submission is None and rows["linked"].submission is None
+
+
+def test_listing_of_an_empty_root(spark, tmp_path):
+    assert list_entries(spark, str(tmp_path)).count() == 0
+    assert source.read_packages(spark, str(tmp_path)).count() == 0
+
+
+def test_bytes_are_read_in_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "BATCH_BYTES", 10)
+    for n in range(7):
+        (tmp_path / f"f{n}").write_text("x" * n)
+    paths = spark.createDataFrame([(n, f"{tmp_path}/f{n}" if n != 3 else None) for n in range(7)], "n int, p string").coalesce(1)
+    rows = listing.read_bytes(paths, ["n"], {"data": "p"}).collect()
+    assert {r.n: r.data and len(r.data) for r in rows} == {0: b"", 1: 1, 2: 2, 3: None, 4: 4, 5: 5, 6: 6}
