@@ -136,9 +136,13 @@ class EvidenceListing(DataSource):
         return _Reader(self.options["path"], int(self.options.get("foldersPerTask", FOLDERS_PER_TASK)))
 
 
-def read_bytes(entries: DataFrame, keys: list[str], paths: dict[str, str]) -> DataFrame:
+def read_bytes(
+    entries: DataFrame, keys: list[str], paths: dict[str, str], missing_as_null: bool = False
+) -> DataFrame:
     """Adds the bytes of files: `paths` maps new columns to path columns (null: null).
 
+    A file that is not there fails the job, or is null with `missing_as_null`.
+
     Tasks open the files themselves, so bytes are not shuffled; a batch ends
     after BATCH_BYTES.
     """
@@ -153,7 +157,7 @@ def read_bytes(entries: DataFrame, keys: list[str], paths: dict[str, str]) -> Da
             for row in range(batch.num_rows):
                 for column, values in enumerate(read, width):
                     path = batch.column(column)[row].as_py()
-                    values.append(None if path is None else _content(path))
+                    values.append(None if path is None else _content(path, missing_as_null))
                     size += len(values[-1] or b"")
                 if size >= BATCH_BYTES or row == batch.num_rows - 1:
                     kept = [batch.column(i).slice(start, row + 1 - start) for i in range(width)]
@@ -163,13 +167,20 @@ def read_bytes(entries: DataFrame, keys: list[str], paths: dict[str, str]) -> Da
     return rows.mapInArrow(run, out)
 
 
-def _content(path: str) -> bytes:
-    if path.startswith("/"):
-        with open(path, "rb") as file:
-            return file.read()
-    files, inside = pafs.FileSystem.from_uri(path)
-    with files.open_input_stream(inside) as stream:
-        return stream.read()
+def _content(path: str, missing_as_null: bool) -> bytes | None:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    try:
+        if path.startswith("/"):
+            with open(path, "rb") as file:
+                return file.read()
+        files, inside = pafs.FileSystem.from_uri(path)
+        with files.open_input_stream(inside) as stream:
+            return stream.read()
+    except FileNotFoundError:
+        if missing_as_null:
+            return None
+        raise
 
 
 def list_entries(spark: SparkSession, root: str, folders_per_task: int = FOLDERS_PER_TASK) -> DataFrame:
