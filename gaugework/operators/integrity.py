@@ -148,7 +148,11 @@ def author_check(declared: Column, author: Column) -> tuple[Column, Column]:
 
 
 def support_reasons(
-    same_identity: Column, same_contributor: Column, same_result: Column, accepted: Column
+    same_identity: Column,
+    same_contributor: Column,
+    same_result: Column,
+    accepted: Column,
+    same_session: Column | None = None,
 ) -> Column:
     """Why a named supporting submission does not count."""
     return reasons(
@@ -156,4 +160,5 @@ def support_reasons(
         (~same_identity, "support-not-comparison-compatible"),
         (same_contributor, "support-not-contributor-independent"),
         (same_result, "support-reuses-result"),
+        *([] if same_session is None else [(same_session, "support-reuses-session")]),
     )

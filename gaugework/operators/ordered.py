@@ -138,6 +138,39 @@ def previous_values(
     )
 
 
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    values: Sequence[str],
+    strict: bool = True,
+) -> DataFrame:
+    """Every row of `left` with the `values` of the last `right` row of its key before its moment.
+
+    `at` names the moment in both frames; with `strict` a row of the same moment
+    comes too late.  Of right rows with one moment the one with the greatest
+    values counts; a null moment finds nothing and is never found.
+    """
+    row = F.struct(*[F.col(c) for c in left.columns])
+    asked = left.select(*keys, F.col(at).alias("_at"), row.alias("_row"))
+    told = right.where(F.col(at).isNotNull()).select(
+        *keys, F.col(at).alias("_at"), F.struct(*values).alias("_held")
+    )
+    both = asked.unionByName(told, allowMissingColumns=True)
+    late = F.col("_held").isNotNull() if strict else F.col("_held").isNull()
+    order = [F.col("_at"), late.cast("int"), F.col("_held")]
+    sliced = ordered_slices(both, keys, order)
+    newest = F.when(F.col("_held").isNotNull(), F.struct(F.col("_at"), F.col("_held")))
+    ends = sliced.groupBy(*keys, SLICE).agg(F.max_by("_held", newest).alias("_end"))
+    carry = ends.select(*keys, SLICE, F.last("_end", ignorenulls=True).over(_earlier(keys)).alias("_before"))
+    inside = F.last("_held", ignorenulls=True).over(
+        _over([*keys, SLICE], order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    found = _attach(sliced, carry, keys).withColumn("_found", F.coalesce(inside, "_before"))
+    return found.where(F.col("_row").isNotNull()).select("_row.*", "_found.*")
+
+
 def beside(*single_rows: DataFrame) -> DataFrame:
     """One row out of several one-row frames with different columns, without a join."""
     columns = [c for frame in single_rows for c in frame.columns]

@@ -32,13 +32,13 @@ def transition_allowed(kind: Column, previous: Column, assigned: Column) -> Colu
     )
 
 
-def _support_facts(supports: DataFrame, first: DataFrame) -> DataFrame:
+def _support_facts(supports: DataFrame, first: DataFrame, record: str) -> DataFrame:
     """Per review: how many supports, all statically fine, and when the last was accepted."""
     accepted = first.select(
         F.col("submission_id").alias("supporting_id"), F.col("_at").alias("_accepted_at")
     )
-    both = lookup(supports, accepted, ["supporting_id"], "left", ["review_id"])
-    return both.groupBy("review_id").agg(
+    both = lookup(supports, accepted, ["supporting_id"], "left", [record])
+    return both.groupBy(record).agg(
         F.count("*").alias("_supports"),
         F.bool_and("support_ok").alias("_supports_ok"),
         F.bool_and(F.col("_accepted_at").isNotNull()).alias("_all_accepted"),
@@ -53,21 +53,23 @@ def _earliest(candidates: DataFrame, suffix: str) -> DataFrame:
     )
 
 
-def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
+def fold_reviews(records: DataFrame, supports: DataFrame, record: str = "review_id") -> DataFrame:
     """Every record with its verdict and the level it found and left behind.
 
     records: review_id, name, reviewed_at, submission_id, review_type,
     previous_level, assigned_level, static_ok (digests and package checks).
     supports: review_id, supporting_id, support_ok (identity, independence).
+    `record` is the column that says which record a support is named by:
+    `name` where review ids may repeat.
     """
     order = [F.col("reviewed_at"), F.col("name")]
     numbered = number_rows(records, ["review_id"], order, "_use").withColumn(
         "_at", F.struct(*order)
     )
-    counts = supports.groupBy("review_id").agg(
+    counts = supports.groupBy(record).agg(
         F.count("*").alias("_n"), F.bool_and("support_ok").alias("_ok")
     )
-    known = lookup(numbered, counts, ["review_id"], "left", ["name"])
+    known = lookup(numbered, counts, [record], "left", ["name"])
     reproduction = F.col("review_type") == "reproduction-review"
     has_supports = F.coalesce(F.col("_n") > 0, F.lit(False))
     static = known.withColumn(
@@ -84,10 +86,8 @@ def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
     static = materialize(static)
     usable = static.where("_static")
     first = _earliest(usable.where("previous_level = 'unreviewed'"), "")
-    facts = _support_facts(supports, first).select(
-        "review_id", "_all_accepted", "_last_accepted"
-    )
-    dated = _with_first(static, first, facts)
+    facts = _support_facts(supports, first, record).select(record, "_all_accepted", "_last_accepted")
+    dated = _with_first(static, first, facts, record)
     supported = F.col("_all_accepted").isNull() | (
         F.col("_all_accepted") & (F.col("_last_accepted") < F.col("_at"))
     )
@@ -146,12 +146,12 @@ def fold_reviews(records: DataFrame, supports: DataFrame) -> DataFrame:
     )
 
 
-def _with_first(static: DataFrame, first: DataFrame, facts: DataFrame) -> DataFrame:
+def _with_first(static: DataFrame, first: DataFrame, facts: DataFrame, record: str) -> DataFrame:
     start = first.select(
         "submission_id", F.col("_at").alias("_at1"), F.col("_level").alias("_level1")
     )
     both = lookup(static, start, ["submission_id"], "left", ["review_id"])
-    return lookup(both, facts, ["review_id"], "left", ["name"])
+    return lookup(both, facts, [record], "left", ["name"])
 
 
 def evidence_levels(submissions: DataFrame, folded: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = (
     "publish_queries",
     "package_queries",
     "source_queries",
+    "review_queries",
 )
 
 

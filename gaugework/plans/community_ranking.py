@@ -82,25 +82,6 @@ def _identity() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}"))
 
 
-def reviewer_identity(r: Column) -> Column:
-    """Identity for reproduction reviews: no runner, but the whole device."""
-    x, model = r["execution"], r["model"]
-    return identity_json(
-        {
-            "workloadID": x["workloadID"],
-            "workloadVersion": x["workloadVersion"],
-            "fixtureSHA256": x["fixtureSHA256"],
-            "measurementModeID": x["measurementModeID"],
-            "artifactID": model["artifactID"],
-            "artifactRevision": model["artifactRevision"],
-            "artifactContentHash": model["artifactContentHash"],
-            "quantization": model["quantization"],
-            "device": r["device"],
-        },
-        {"generation": r["configuration"], "runtime": r["runtime"]},
-    )
-
-
 def contributions(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contributions, rejected) from result texts in one common row shape.
 
