@@ -16,6 +16,7 @@ from gaugework.functions.numbers import joined
 from gaugework.operators.integrity import fixed_rows
 from gaugework.plans import evidence_ranking as ranking
 from gaugework.plans.registry import Tables, big, query
+from gaugework.session import materialize, spread
 
 _SHA = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("program", "target", "model", "stack", "work")}
 _GENERATION = '{"maximumOutputTokens":128,"sampling":false,"temperature":0}'
@@ -155,8 +156,9 @@ def derived_packages(spark, sf):
     rows = Tables(spark, sf).customer.select(
         key, F.when(key % 60 == 59, key - 1).otherwise(key).alias("content_key")
     )
-    # The documents grow from one small key each, so the keys are spread first.
-    rows = rows.repartition("c_custkey")
+    # The documents grow from one small key each, so the keys are dealt to all cores first
+    # (with a number: AQE would merge partitions of such small rows into one).
+    rows = spread(rows, "c_custkey")
     interactive = k % 2 == 0
     number = (k % 4).cast("string")
     # The 29-row wrinkle differs from the registry on purpose.
@@ -244,13 +246,15 @@ def derived_packages(spark, sf):
         ),
     )
     author = F.when(key % 43 == 6, "other").when(key % 41 != 5, F.lower(login))
-    return with_result.select(
+    # Landed once: what follows reads the documents, and does not build them again.
+    landed = with_result.select(
         folder.alias("package_id"),
         F.to_json(submission, keep_nulls).cast("binary").alias("submission"),
         F.col("text").cast("binary").alias("result"),
         F.lit(True).alias("file_set_valid"),
         author.alias("author"),
     )
+    return materialize(landed)
 
 
 _EXPECTED = """
