@@ -1,13 +1,13 @@
 """Order-dependent operators that stay whole when one key holds most rows.
 
-A plain window over a hot key would sort a third of the data in one task, so
-row numbers, running flags, previous values and exact percentiles come from
-ordered slices: the rows are written to a table and counted, a range shuffle on
-(key, order) cuts even a single key into slices of bounded size, each slice is
-summarised to one row, the summaries of the earlier slices are carried into
-every slice, and the window then runs inside (key, slice).  The labelled rows
-are written too, because a recomputed range shuffle may cut elsewhere; rows that
-make one slice need no shuffle and have their label by themselves.
+The rows are written to a table once and counted.  Keys of ordinary size get a
+plain window (or an aggregate of their values).  A key with more rows than a
+slice holds is cut: a range shuffle on (key, order) deals its rows to slices of
+bounded size, each slice is summarised to one row, the summaries of the earlier
+slices are carried into every slice, and the window runs inside (key, slice).
+Which way a key goes follows from its own number of rows, so both ways may work
+on one table, and they give the same rows.  Labelled rows are written too,
+because a recomputed range shuffle may cut elsewhere.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.session import materialize, slice_count
+from gaugework.session import materialize, rows_per_slice, slice_count
 
 SLICE = "_slice"
 
@@ -30,6 +30,35 @@ def _over(keys: Sequence[str], order: Sequence[Column]):
     return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
 
 
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
+def by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    plain: Callable[[DataFrame], DataFrame],
+    sliced: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """`plain` over the keys that fit into one slice, `sliced` over the larger ones."""
+    kept = materialize(df)
+    limit = rows_per_slice(kept)
+    if kept.count() <= limit:
+        return plain(kept)
+    if not keys:
+        return sliced(kept)
+    large = materialize(
+        kept.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(
+            *[F.col(k).alias(f"_l_{k}") for k in keys]
+        )
+    )
+    if large.isEmpty():
+        return plain(kept)
+    same = _same(keys, "_l_")
+    rest = plain(kept.join(large, same, "left_anti"))
+    return rest.unionByName(sliced(kept.join(large, same, "left_semi")))
+
+
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Label every row with the number of its slice in (key, order) order."""
     kept = materialize(df)
@@ -62,30 +91,43 @@ def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
     """1-based position of each row inside its key; `order` must be a total order."""
-    sliced = ordered_slices(df, keys, order)
-    counts = sliced.groupBy(*keys, SLICE).agg(F.count("*").alias("_rows"))
-    carry = counts.select(*keys, SLICE, F.sum("_rows").over(_earlier(keys)).alias("_before"))
-    inside = F.row_number().over(_over([*keys, SLICE], order))
-    return (
-        _attach(sliced, carry, keys)
-        .withColumn(name, F.coalesce("_before", F.lit(0)) + inside)
-        .drop("_before", SLICE)
-    )
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = ordered_slices(rows, keys, order)
+        counts = cut.groupBy(*keys, SLICE).agg(F.count("*").alias("_rows"))
+        carry = counts.select(*keys, SLICE, F.sum("_rows").over(_earlier(keys)).alias("_before"))
+        inside = F.row_number().over(_over([*keys, SLICE], order))
+        return (
+            _attach(cut, carry, keys)
+            .withColumn(name, F.coalesce("_before", F.lit(0)) + inside)
+            .drop("_before", SLICE)
+        )
+
+    number = F.row_number().over(_over(keys, order)).cast("long")
+    return by_size(df, keys, lambda rows: rows.withColumn(name, number), sliced)
 
 
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sums: dict[str, str]
 ) -> DataFrame:
     """`number_rows`, and for each {new name: column} the sum of the column up to this row."""
-    sliced = ordered_slices(df, keys, order)
-    totals = {name: F.lit(1), **{n: F.coalesce(F.col(c), F.lit(0)) for n, c in sums.items()}}
-    parts = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
-    carry = parts.select(
-        *keys, SLICE, *[F.sum(f"_{n}").over(_earlier(keys)).alias(f"_before_{n}") for n in totals]
-    )
-    inside = _over([*keys, SLICE], order).rowsBetween(Window.unboundedPreceding, 0)
-    upto = {n: F.coalesce(f"_before_{n}", F.lit(0)) + F.sum(c).over(inside) for n, c in totals.items()}
-    return _attach(sliced, carry, keys).select(*df.columns, *[c.alias(n) for n, c in upto.items()])
+    totals = {name: F.lit(1).cast("long"), **{n: F.coalesce(F.col(c), F.lit(0)) for n, c in sums.items()}}
+    upto = lambda cols: _over(cols, order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select(*df.columns, *[F.sum(c).over(upto(keys)).alias(n) for n, c in totals.items()])
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = ordered_slices(rows, keys, order)
+        parts = cut.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+        carry = parts.select(
+            *keys, SLICE, *[F.sum(f"_{n}").over(_earlier(keys)).alias(f"_before_{n}") for n in totals]
+        )
+        inside = upto([*keys, SLICE])
+        whole = {n: F.coalesce(f"_before_{n}", F.lit(0)) + F.sum(c).over(inside) for n, c in totals.items()}
+        return _attach(cut, carry, keys).select(*df.columns, *[c.alias(n) for n, c in whole.items()])
+
+    return by_size(df, keys, plain, sliced)
 
 
 def running_any(
@@ -99,43 +141,54 @@ def running_any(
     """True once `flag` was true on an earlier row (or this one) of the key."""
     last = 0 if include_current else -1
     upto = lambda cols: _over(cols, order).rowsBetween(Window.unboundedPreceding, last)
-    sliced = ordered_slices(df, keys, order)
-    seen = sliced.groupBy(*keys, SLICE).agg(F.bool_or(flag).alias("_any"))
-    carry = seen.select(*keys, SLICE, F.bool_or("_any").over(_earlier(keys)).alias("_before"))
-    inside = F.bool_or(flag).over(upto([*keys, SLICE]))
-    return (
-        _attach(sliced, carry, keys)
-        .withColumn(
-            name, F.coalesce("_before", F.lit(False)) | F.coalesce(inside, F.lit(False))
+    seen_in = lambda cols: F.coalesce(F.bool_or(flag).over(upto(cols)), F.lit(False))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = ordered_slices(rows, keys, order)
+        seen = cut.groupBy(*keys, SLICE).agg(F.bool_or(flag).alias("_any"))
+        carry = seen.select(*keys, SLICE, F.bool_or("_any").over(_earlier(keys)).alias("_before"))
+        return (
+            _attach(cut, carry, keys)
+            .withColumn(name, F.coalesce("_before", F.lit(False)) | seen_in([*keys, SLICE]))
+            .drop("_before", SLICE)
         )
-        .drop("_before", SLICE)
-    )
+
+    return by_size(df, keys, lambda rows: rows.withColumn(name, seen_in(keys)), sliced)
 
 
 def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]
 ) -> DataFrame:
     """Add, for each {new name: column}, its value on the previous row of the key."""
-    sliced = ordered_slices(df, keys, order)
-    inside = _over([*keys, SLICE], order)
-    # The last row of a slice has no successor inside it; one such row per slice.
-    tails = (
-        sliced.withColumn("_next", F.lead(F.lit(True)).over(inside))
-        .where(F.col("_next").isNull())
-        .select(*keys, SLICE, F.struct(*sorted(set(columns.values()))).alias("_tail"))
-    )
-    across = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(SLICE)
-    carry = tails.select(*keys, SLICE, F.lag("_tail").over(across).alias("_before"))
-    joined = _attach(sliced, carry, keys).withColumn("_first", F.row_number().over(inside) == 1)
-    return joined.select(
-        *df.columns,
-        *[
-            F.when(F.col("_first"), F.col("_before")[c])
-            .otherwise(F.lag(c).over(inside))
-            .alias(n)
-            for n, c in columns.items()
-        ],
-    )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *df.columns, *[F.lag(c).over(_over(keys, order)).alias(n) for n, c in columns.items()]
+        )
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = ordered_slices(rows, keys, order)
+        inside = _over([*keys, SLICE], order)
+        # The last row of a slice has no successor inside it; one such row per slice.
+        tails = (
+            cut.withColumn("_next", F.lead(F.lit(True)).over(inside))
+            .where(F.col("_next").isNull())
+            .select(*keys, SLICE, F.struct(*sorted(set(columns.values()))).alias("_tail"))
+        )
+        across = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(SLICE)
+        carry = tails.select(*keys, SLICE, F.lag("_tail").over(across).alias("_before"))
+        joined = _attach(cut, carry, keys).withColumn("_first", F.row_number().over(inside) == 1)
+        return joined.select(
+            *df.columns,
+            *[
+                F.when(F.col("_first"), F.col("_before")[c])
+                .otherwise(F.lag(c).over(inside))
+                .alias(n)
+                for n, c in columns.items()
+            ],
+        )
+
+    return by_size(df, keys, plain, sliced)
 
 
 def as_of(
@@ -160,15 +213,23 @@ def as_of(
     both = asked.unionByName(told, allowMissingColumns=True)
     late = F.col("_held").isNotNull() if strict else F.col("_held").isNull()
     order = [F.col("_at"), late.cast("int"), F.col("_held")]
-    sliced = ordered_slices(both, keys, order)
-    newest = F.when(F.col("_held").isNotNull(), F.struct(F.col("_at"), F.col("_held")))
-    ends = sliced.groupBy(*keys, SLICE).agg(F.max_by("_held", newest).alias("_end"))
-    carry = ends.select(*keys, SLICE, F.last("_end", ignorenulls=True).over(_earlier(keys)).alias("_before"))
-    inside = F.last("_held", ignorenulls=True).over(
-        _over([*keys, SLICE], order).rowsBetween(Window.unboundedPreceding, 0)
+    newest_in = lambda cols: F.last("_held", ignorenulls=True).over(
+        _over(cols, order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    asked_rows = lambda found: found.where(F.col("_row").isNotNull()).select("_row.*", "_found.*")
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = ordered_slices(rows, keys, order)
+        newest = F.when(F.col("_held").isNotNull(), F.struct(F.col("_at"), F.col("_held")))
+        ends = cut.groupBy(*keys, SLICE).agg(F.max_by("_held", newest).alias("_end"))
+        earlier = F.last("_end", ignorenulls=True).over(_earlier(keys))
+        carry = ends.select(*keys, SLICE, earlier.alias("_before"))
+        found = F.coalesce(newest_in([*keys, SLICE]), "_before")
+        return asked_rows(_attach(cut, carry, keys).withColumn("_found", found))
+
+    return by_size(
+        both, keys, lambda rows: asked_rows(rows.withColumn("_found", newest_in(keys))), sliced
     )
-    found = _attach(sliced, carry, keys).withColumn("_found", F.coalesce(inside, "_before"))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", "_found.*")
 
 
 def beside(*single_rows: DataFrame) -> DataFrame:
@@ -212,6 +273,19 @@ def exact_percentiles(
         (F.sum(count) if count else F.count("*")).alias("_n"),
         *[first.alias(f"_also_{n}") for n, (first, _) in also.items()],
     )
+    merged = [merge(f"_also_{n}").alias(n) for n, (_, merge) in also.items()]
+
+    def plain(distinct: DataFrame) -> DataFrame:
+        # Null values count for nothing, but keep their key.
+        often = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+        parts = F.percentile("_v", [*fractions.values()], often).alias("_p")
+        found = distinct.groupBy(*keys).agg(parts, *merged)
+        return found.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(fractions)], *also)
+
+    return by_size(counted, keys, plain, lambda distinct: _sliced_percentiles(distinct, keys, fractions, also, merged))
+
+
+def _sliced_percentiles(counted, keys, fractions, also, merged) -> DataFrame:
     distinct = ordered_slices(counted, keys, [F.col("_v")])
     sliced = distinct.where(F.col("_v").isNotNull())
     totals = sliced.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_rows"))
@@ -245,9 +319,7 @@ def exact_percentiles(
         aggregates += [at(low).alias(f"_lo_{n}"), at(high).alias(f"_hi_{n}")]
     found = picked.groupBy(*keys).agg(*aggregates)
     result = _interpolated(found, keys, fractions, [])
-    rest = distinct.groupBy(*keys).agg(
-        F.sum("_n").alias("_rows"), *[merge(f"_also_{n}").alias(n) for n, (_, merge) in also.items()]
-    )
+    rest = distinct.groupBy(*keys).agg(F.sum("_n").alias("_rows"), *merged)
     if not keys:
         return beside(rest.drop("_rows"), result)
     renamed = result.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *fractions)

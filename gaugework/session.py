@@ -28,10 +28,13 @@ def build_session(name: str = "gaugework", cores: int | str = "*") -> SparkSessi
     )
 
 
+def rows_per_slice(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(ROWS_PER_SLICE, str(DEFAULT_ROWS_PER_SLICE)))
+
+
 def slice_count(kept: DataFrame) -> int:
     """Number of ordered slices for rows that are already in a table, so counting them is cheap."""
-    limit = int(kept.sparkSession.conf.get(ROWS_PER_SLICE, str(DEFAULT_ROWS_PER_SLICE)))
-    return max(1, -(-kept.count() // limit))
+    return max(1, -(-kept.count() // rows_per_slice(kept)))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
