@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -69,6 +70,13 @@ def map_texts(
     return rows.mapInArrow(run, out)
 
 
+def one_row_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key, whichever has the least hash: the same one however rows are partitioned."""
+    rest = [c for c in rows.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(F.xxhash64(*rest), *rest))
+    return rows.groupBy(key).agg(first.alias("__row")).select(key, "__row.*")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes rows once to the folder all executors share and reads them back."""
     spark = df.sparkSession

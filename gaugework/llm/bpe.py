@@ -87,11 +87,12 @@ class Automaton:
         open_arcs: list[list[int]] = []  # at each position on the path, arcs not tried yet
         dead: set[int] = set()
         at, end = 0, len(word)
+        rest = memoryview(word)  # its slices copy nothing
         state = -1
         while at < end:
             node = 0
             arcs: list[int] = []
-            for byte in word[at:] if at else word:
+            for byte in rest[at:] if at else word:
                 node = step.get(node << 8 | byte)
                 if node is None:
                     break

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.batches import map_texts
+from gaugework.llm.batches import map_texts, one_row_each
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -121,7 +121,8 @@ def train(
     """Fits the model on the given documents; those without a language, text or id are ignored.
 
     Document frequencies cover all of them.  The weights are fitted on at most
-    `rows` whose ids hash lowest, the last fifth of which sets the temperature.
+    `rows` whose ids hash lowest, the last fifth of which sets the temperature;
+    of rows with one id the one that hashes lowest counts.
     """
     spark = docs.sparkSession
     usable = docs.where(docs[lang_col].isNotNull() & docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(
@@ -129,28 +130,29 @@ def train(
     )
     seen, count = document_frequencies(usable, "id", "text")
     idf = np.log((1 + count) / (1 + seen)) + 1
-    chosen = [tuple(r) for r in usable.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(rows).collect()]
+    least = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = [(r.id,) for r in least.collect()]
     if not chosen:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0))
-    ids = spark.createDataFrame(list({(c[0],) for c in chosen}), usable.select("id").schema)
-    # at most `rows` ids, so the hint is bounded
-    used = usable.join(F.broadcast(ids), "id", "left_semi")
+    ids = spark.createDataFrame(chosen, usable.select("id").schema)
+    # at most `rows` ids, so the hint is bounded; of rows with one id, one is kept before any comes to the driver
+    used = one_row_each(usable.join(F.broadcast(ids), "id", "left_semi"), "id")
 
     def make():
         def work(texts, _):
             grams = [ngrams(t) for t in texts]
             return {
                 "buckets": [None if g is None else g[0].astype("<u2").tobytes() for g in grams],
-                "counts": [None if g is None else np.minimum(g[1], 65535).astype("<u2").tobytes() for g in grams],
+                "counts": [None if g is None else g[1].astype("<u4").tobytes() for g in grams],
             }
 
         return work
 
     got = map_texts(used, ["id", "lang"], "text", "buckets binary, counts binary", make).toPandas().dropna()
-    got = got.sort_values(["id", "lang"]).drop_duplicates("id")
+    got = got.sort_values("id")
     order = np.random.default_rng(7).permutation(len(got))
     grams = [
-        (np.frombuffer(got.buckets.iat[i], "<u2").astype(np.int64), np.frombuffer(got.counts.iat[i], "<u2")) for i in order
+        (np.frombuffer(got.buckets.iat[i], "<u2").astype(np.int64), np.frombuffer(got.counts.iat[i], "<u4")) for i in order
     ]
     languages = sorted(set(got["lang"]))
     labels = np.array([languages.index(got["lang"].iat[i]) for i in order], np.int64)

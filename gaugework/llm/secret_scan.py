@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.batches import map_texts
+from gaugework.llm.batches import map_texts, materialize, one_row_each
 
 # The base patterns, the part that is the secret, its least length.
 KINDS = {
@@ -245,17 +250,29 @@ class Tagger:
                     places.append((first, first + len(core)))
             before = tag
             at += len(w)
-        return [(_letters(utf8[:a]), _letters(utf8[:b]), TAGGED) for a, b in places]
+        return _in_letters(utf8, places)
 
 
-def _letters(utf8: bytes) -> int:
-    return len(utf8.decode("utf-8", "replace"))
+def _in_letters(utf8: bytes, places: list[tuple[int, int]]) -> list[Span]:
+    """Ascending places in bytes as spans in code points, by one running count."""
+    spans, at, letters = [], 0, 0
+    for place in places:
+        ends = []
+        for byte in place:
+            letters += len(utf8[at:byte].decode("utf-8", "replace"))
+            at = byte
+            ends.append(letters)
+        spans.append((*ends, TAGGED))
+    return spans
 
 
 def find(text: str, utf8: bytes, tagger: Tagger) -> list[Span]:
     """Base spans, and those of the tagger that touch none of them."""
-    base = base_spans(text, utf8)
-    more = [s for s in tagger.spans(text, utf8) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+    base = sorted(base_spans(text, utf8), key=lambda s: (s[0], _ORDER[s[2]]))
+    starts = [b[0] for b in base]
+    reach = list(itertools.accumulate((b[1] for b in base), max))  # how far the bases up to here go
+    touched = lambda s: (n := bisect.bisect_left(starts, s[1])) > 0 and reach[n - 1] > s[0]
+    more = [s for s in tagger.spans(text, utf8) if not touched(s)]
     return sorted(base + more, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
@@ -352,6 +369,27 @@ def fit(features: np.ndarray, tags: np.ndarray, rounds: int = 30, rate: float =
     return Tagger(weights, steps)
 
 
+def _least_of_each(ranked: DataFrame, most: int) -> DataFrame:
+    """Rows (id, likely, h) among which are the `most` ids that hash lowest, of either kind.
+
+    A task keeps so many different hashes of a kind, so all texts are looked at in one pass.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = [None, None]
+        for batch in batches:
+            for kind in (0, 1):
+                mine = batch.filter(pc.equal(batch.column(1), bool(kind)))
+                if kept[kind] is not None:
+                    mine = pa.concat_batches([kept[kind], mine])
+                hashes = mine.column(2).to_numpy()
+                _, first = np.unique(hashes, return_index=True)
+                kept[kind] = mine.take(pa.array(first[:most]))
+        yield from (k for k in kept if k is not None and k.num_rows)
+
+    return ranked.mapInArrow(keep, ranked.schema)
+
+
 def train(docs: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """Fits the field on the base spans as labels: no others are given.
 
@@ -367,14 +405,15 @@ def train(docs: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, id_col: str = "do
     )
     # near the base patterns, to pick documents without leaving the JVM
     likely = F.col("text").rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|[0-9a-f]{24}|AKIA""")
-    ranked = short.select("id", likely.alias("likely")).withColumn("h", F.xxhash64("id"))
-    chosen = ranked.where("likely").orderBy("h", "id").limit(rows[0]).unionByName(
-        ranked.where("not likely").orderBy("h", "id").limit(rows[1])
-    )
+    ranked = short.select("id", likely.alias("likely"), F.xxhash64("id").alias("h"))
+    few = materialize(_least_of_each(ranked, max(rows)))
+    least = lambda kind, n: few.where(kind).select("id", "h").distinct().orderBy("h", "id").limit(n)
+    chosen = least("likely", rows[0]).unionByName(least("not likely", rows[1]))
     spark = docs.sparkSession
     picked = {(r.id,) for r in chosen.select("id").collect()}
     ids = spark.createDataFrame(list(picked), chosen.select("id").schema)
-    used = short.join(F.broadcast(ids), "id", "left_semi")  # at most sum(rows) ids, so the hint is bounded
+    # at most sum(rows) ids, so the hint is bounded; of rows with one id, one is kept before any comes to the driver
+    used = one_row_each(short.join(F.broadcast(ids), "id", "left_semi"), "id")
 
     def make():
         def work(texts, batch):
@@ -384,7 +423,7 @@ def train(docs: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, id_col: str = "do
         return work
 
     got = map_texts(used, ["id"], "text", "features array<int>, tags array<int>", make).toPandas()
-    got = got.sort_values("id").drop_duplicates("id") if len(got) else got
+    got = got.sort_values("id") if len(got) else got
     tags = np.concatenate([np.zeros(0, np.int64), *map(np.asarray, got.get("tags", []))]).astype(np.int64)
     if not (tags > 0).any():
         none = np.zeros((BUCKETS, 3))

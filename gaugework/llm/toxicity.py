@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.batches import map_texts
+from gaugework.llm.batches import map_texts, one_row_each
 
 BUCKETS = 1 << 17
 LOWEST, HIGHEST = 3, 7
@@ -184,15 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if len(set(toxic.values())) < 2:
         return Model.constant(0.999 if any(toxic.values()) else 0.001)
     ids = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")
-    # at most `rows` ids, so the hint is bounded
-    got = (
-        docs.select("doc_id", "text")
-        .where(F.octet_length("text") <= TRAIN_BYTES)
-        .join(F.broadcast(ids), "doc_id", "left_semi")
-        .toPandas()
-        .sort_values("doc_id")
-        .drop_duplicates("doc_id")
-    )
+    # at most `rows` ids, so the hint is bounded; of rows with one id, one is kept before any comes to the driver
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
+    used = one_row_each(short.join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id")
+    got = used.toPandas().sort_values("doc_id")
     rng = np.random.default_rng(5)
     texts = [(words_of(t.encode("utf-8", "replace")), toxic[i]) for i, t in zip(got.doc_id, got.text)]
     texts = [texts[i] for i in rng.permutation(len(texts))]
