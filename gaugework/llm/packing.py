@@ -37,9 +37,18 @@ def _encoder(path: str) -> WordIds:
     ):
         import tiktoken
 
-        # ids in merge order are ranks, which the faster library takes
+        # ids in merge order are ranks, which the faster library takes; a line is a word to it
         core = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=singles, special_tokens={})
-        return WordIds(lambda word: core.encode_ordinary(word.decode("utf-8", "replace")), vocabulary)
+        lines = tiktoken.Encoding("lines", pat_str=r"[^\n]+|\n", mergeable_ranks=singles, special_tokens={})
+        end = singles[b"\n"]
+
+        def many(words: list[str]) -> list[bytes]:
+            ids = lines.encode_to_numpy("\n".join(words), disallowed_special=()).astype("<u4")
+            ends = (4 * np.flatnonzero(ids == end)).tolist()
+            plain = ids.tobytes()
+            return [plain[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(plain)])]
+
+        return WordIds(lambda word: core.encode_ordinary(word.decode("utf-8", "replace")), vocabulary, many)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -63,8 +72,8 @@ def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str, text_col: str
 
         def work(texts, _):
             made = {k: [] for k in ("doc_tokens", "full", "start", "length", "ids", "near_1", "near_2")}
-            for text in texts:
-                ids = words.text(text) + end
+            for coded in words.texts(texts):
+                ids = coded + end
                 count = len(ids) // 4
                 full = count // window
                 step = 4 * window
@@ -212,7 +221,7 @@ def pack(
     Every document, closed by id 0, is cut into pieces that together fill
     sequences of `window` ids.  A document's full windows are sequences of
     their own.  Tails are dealt by a range sort on two min-hashes of their id
-    pairs and then a hash of the document, so tails with common passages meet
+    pairs and then a hash of the row, so tails with common passages meet
     and any number of copies is cut into as many tasks as it needs.  A task
     packs one bounded shard after the other: it indexes the shard (document
     frequencies and average length are those of all tails), and each seed's
@@ -241,7 +250,7 @@ def pack(
         *([F.col("own.ids").alias("ids")] if ids else []),
     )
     tails = rows.where("length > 0").select(
-        "id", "doc_tokens", "start", "length", "ids", "near_1", "near_2"
+        "id", "doc_tokens", "start", "length", "ids", "near_1", "near_2", F.monotonically_increasing_id().alias("row")
     )
     seen, count, tokens = document_frequencies(tails)
     spark = docs.sparkSession
@@ -249,8 +258,8 @@ def pack(
     shared = spark.sparkContext.broadcast(np.log(1 + (count - seen + 0.5) / (seen + 0.5)))
     average = tokens / max(count, 1)
     tasks = max(1, -(-tokens // TASK_TOKENS))
-    dealt = tails.repartitionByRange(tasks, "near_1", "near_2", F.xxhash64("id", "start", "doc_tokens"))
-    dealt = dealt.sortWithinPartitions("near_1", "near_2", "id").select("id", "doc_tokens", "start", "ids")
+    dealt = tails.repartitionByRange(tasks, "near_1", "near_2", F.xxhash64("id", "start", "doc_tokens", "row"))
+    dealt = dealt.sortWithinPartitions("near_1", "near_2", "id", "row").select("id", "doc_tokens", "start", "ids")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, {_PIECE}" + ", ids binary" * ids
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -73,13 +74,18 @@ class Vocabulary:
 
 
 class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers, remembered while there is room."""
+    """Ids of words as little-endian 32-bit numbers, remembered while there is room.
+
+    `encode_many`, if given, encodes a list of words without line ends at once.
+    """
 
     ROOM = 600_000
     LONGEST = 48
+    # Bytes of text whose new words are encoded together.
+    RUN = 1 << 20
 
-    def __init__(self, encode, vocabulary: Vocabulary):
-        self._encode, self._vocabulary = encode, vocabulary
+    def __init__(self, encode, vocabulary: Vocabulary, encode_many=None):
+        self._encode, self._vocabulary, self._encode_many = encode, vocabulary, encode_many
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self._encode(word.encode("utf-8")), "<u4").tobytes()
@@ -89,12 +95,39 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def _cut(self, text: bytes | None) -> list[list[str] | bytes]:
+        """The words of a text, and between them the ids of its special strings."""
+        parts = self._vocabulary.parts(text.decode("utf-8", "replace")) if text else ()
+        return [split_words(part) if special is None else np.array([special], "<u4").tobytes() for part, special in parts]
+
+    def _join(self, cut: list[list[str] | bytes]) -> bytes:
+        return b"".join([x if isinstance(x, bytes) else b"".join(map(self.__getitem__, x)) for x in cut])
+
     def text(self, text: bytes | None) -> bytes:
         """Ids of a whole text."""
-        found = []
-        for part, special in self._vocabulary.parts(text.decode("utf-8", "replace")) if text else ():
-            if special is None:
-                found.extend(map(self.__getitem__, split_words(part)))
-            else:
-                found.append(np.array([special], "<u4").tobytes())
-        return b"".join(found)
+        return self._join(self._cut(text))
+
+    def texts(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Ids of whole texts; words not met before are encoded together, a run of texts at a time."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(self._cut(text))
+            size += len(text or b"")
+            if size >= self.RUN:
+                self._learn(waiting)
+                yield from map(self._join, waiting)
+                waiting, size = [], 0
+        self._learn(waiting)
+        yield from map(self._join, waiting)
+
+    def _learn(self, run: list[list[list[str] | bytes]]) -> None:
+        if self._encode_many is None:
+            return
+        met = set().union(*(x for cut in run for x in cut if not isinstance(x, bytes)))
+        fresh = [w for w in met if w not in self]
+        if len(self) + len(fresh) > self.ROOM:
+            self.clear()
+            fresh = list(met)
+        fresh = [w for w in fresh if len(w) <= self.LONGEST and "\n" not in w]
+        if fresh:
+            self.update(zip(fresh, self._encode_many(fresh)))

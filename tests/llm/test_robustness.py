@@ -77,3 +77,20 @@ def test_places_in_letters():
     assert secret_scan._in_letters(utf8, [(cuts[1], cuts[2]), (cuts[2], cuts[4]), (cuts[5], cuts[6])]) == [
         (1, 2, secret_scan.TAGGED), (2, 4, secret_scan.TAGGED), (5, 6, secret_scan.TAGGED),
     ]
+
+
+def test_words_encoded_together_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from gaugework.llm import packing, vocabulary
+
+    monkeypatch.setattr(vocabulary.WordIds, "ROOM", 500)
+    monkeypatch.setattr(vocabulary.WordIds, "RUN", 2000)
+    rng = np.random.default_rng(6)
+    letters = list("abcXYZ \n\r\t'é€𝄞019,. \x85\xa0") + ["<|endoftext|>", "\n\n", "word" * 20]
+    texts = ["".join(letters[int(i)] for i in rng.integers(0, len(letters), int(n))).encode() for n in rng.integers(0, 80, 3000)]
+    words = packing._encoder.__wrapped__(queries.BYTE_BPE)
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    want = [np.array(library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(words.texts([None, *texts])) == [b"", *want]
+    assert [words.text(t) for t in texts] == want
