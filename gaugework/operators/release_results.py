@@ -38,6 +38,8 @@ WORKLOADS = {
         "primary": "decode_tokens_per_second@1",
     },
 }
+# The release whose short results lose the metrics of attempts with a failed text check.
+TEXT_GATED = "suite-b-power-result-1.0.0-rc.1"
 # metric id: (attempt field, summary field, workloads)
 METRICS = {
     "first_renderable_proxy_ttft_ms@1": (
@@ -281,30 +283,55 @@ def _frozen_reasons(execution: Column, configuration: Column, app: dict[str, str
     )
 
 
+def _behind_text_gate(attempt: Column, values: Column, gated: Column) -> Column:
+    """Values as the first release has them: none for an attempt whose text check failed."""
+    failed = gated & attempt["responseConformance"]["status"].eqNullSafe("fail")
+    return F.struct(*[F.when(~failed, values[f]).alias(f) for f, _, _ in METRICS.values()])
+
+
 def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame:
     """Add values, reasons, metric decisions and the behaviour vote.
 
     results: any keys plus `r`, the parsed result.  `app` pins the reference
     runner fields (runnerVersion, appVersion, appBuild, appSourceCommit).
+    Short results of the TEXT_GATED version have no values for attempts whose
+    text check failed, and that check must be what the text says; their
+    `raw_decisions` are what the evidence alone would give.
     """
     r = F.col("r")
     interactive = r["execution"]["workloadID"].eqNullSafe(SHORT)
+    gated = interactive & r["schemaVersion"].eqNullSafe(TEXT_GATED)
     limit = F.when(interactive, 128).otherwise(512)
     environment, preparation = r["environment"], r["modelPreparation"]
     measured = F.filter(r["attempts"], lambda a, i: i >= 1)
     first = results.select(
         "*",
-        F.transform(r["attempts"], lambda a: attempt_values(a, interactive)).alias("values"),
+        F.transform(r["attempts"], lambda a: attempt_values(a, interactive)).alias("_raw_values"),
         F.flatten(
             F.transform(r["attempts"], lambda a: attempt_reasons(a, interactive, limit))
         ).alias("_attempt_reasons"),
-        normalized_texts(
-            F.transform(
-                F.filter(measured, lambda a: a["outcome"] == "completed"),
-                lambda a: a["generatedText"],
-            )
+        normalized_texts(F.transform(r["attempts"], lambda a: a["generatedText"])).alias("_all_texts"),
+    )
+    completed = F.transform(r["attempts"], lambda a, i: (i >= 1) & _false(a["outcome"] == "completed"))
+    first = first.select(
+        "*",
+        F.zip_with(
+            r["attempts"], F.col("_raw_values"), lambda a, v: _behind_text_gate(a, v, gated)
+        ).alias("values"),
+        F.array_compact(
+            F.zip_with(completed, F.col("_all_texts"), lambda done, text: F.when(done, F.struct(text.alias("text"))))
         ).alias("_texts"),
     )
+    says = lambda a, text: F.when(behaviour.substring_conformant(text), "pass").otherwise("fail")
+    misjudged = gated & F.exists(
+        F.zip_with(
+            r["attempts"],
+            F.col("_all_texts"),
+            lambda a, text: _false(a["outcome"] == "completed")
+            & ~a["responseConformance"]["status"].eqNullSafe(says(a, text)),
+        ),
+        lambda wrong: wrong,
+    )
     positions = F.transform(
         r["attempts"],
         lambda a, i: a["runIndex"].eqNullSafe(i)
@@ -373,7 +400,10 @@ def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame
                     (stop_ignored, "contradictory_outcome_evidence"),
                 ),
                 F.col("_attempt_reasons"),
-                reasons((derived_differ, "aggregate_mismatch")),
+                reasons(
+                    (derived_differ, "aggregate_mismatch"),
+                    (misjudged, "response_decision_mismatch"),
+                ),
             )
         ).alias("_found"),
         F.filter("values", lambda v, i: i >= 1).alias("_measured"),
@@ -393,9 +423,20 @@ def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame
         F.array().cast("array<double>")
     )
     decisions.append(_decision(CHANGE, workload == LONG, blocked, ends, change, CHANGE_FIELD, 2))
-    responses = F.transform(F.col("_texts"), lambda t: behaviour.substring_conformant(t))
+    responses = F.transform(F.col("_texts"), lambda t: behaviour.substring_conformant(t["text"]))
     conformant = F.size(F.filter(responses, lambda ok: ok))
-    third = second.select("*", F.array(*decisions).alias("decisions"), conformant.alias("_verified"))
+    raw = []
+    measured_raw = F.filter("_raw_values", lambda v, i: i >= 1)
+    for metric, (field, summary, where) in METRICS.items():
+        series = F.array_compact(F.transform(measured_raw, lambda v: v[field]))
+        none = F.array().cast("array<string>")
+        raw.append(_decision(metric, workload.isin(*where), none, series, array_median(series), summary))
+    third = second.select(
+        "*",
+        F.array(*decisions).alias("decisions"),
+        F.when(gated, F.array(*raw, decisions[-1])).alias("raw_decisions"),
+        conformant.alias("_verified"),
+    )
 
     def ended(outcome):
         return F.size(F.filter(measured, lambda a: a["outcome"] == outcome)).cast("long")
@@ -423,6 +464,7 @@ def evaluate(results: DataFrame, app: dict[str, str] | None = None) -> DataFrame
         *keep,
         "values",
         "decisions",
+        "raw_decisions",
         F.array_distinct(F.concat("_found", late)).alias("protocol_reasons"),
         F.when(~interactive, "not-applicable")
         .when(F.col("_verified") >= 3, "verified")
@@ -454,28 +496,30 @@ def _decision(metric, applies, blocked, series, value, summary, minimum=3) -> Co
 
 
 def legacy_values(evaluated: DataFrame, legacy_version: str) -> DataFrame:
-    """Add `recomputed`: medians of old short results that a text rule had nulled.
+    """Add `recomputed`: old short results whose metrics a text rule had nulled.
 
-    Only for valid legacy results whose primary metric is not eligible by its
-    own export and where a measured response check failed; the raw result is
-    never changed.
+    Only for legacy results whose primary metric is not eligible under that
+    rule, where a measured response check failed and the evidence alone has
+    enough values: their decisions become those of the evidence.  The raw result
+    is never changed.
     """
     r = F.col("r")
     failed_check = F.exists(
         F.filter(r["attempts"], lambda a, i: i >= 1), lambda a: a["responseConformance"]["status"] == "fail"
     )
-    primary = F.filter(
-        F.col("decisions"), lambda d: d["metric_id"] == WORKLOADS[SHORT]["primary"]
-    )[0]
-    nulled = r["summary"]["metrics"]["medianFirstRenderableProxyTTFTMilliseconds"].isNull()
+    primary = lambda decisions: F.get(
+        F.filter(decisions, lambda d: d["metric_id"] == WORKLOADS[SHORT]["primary"]), F.lit(0)
+    )
     applies = _false(
         (r["schemaVersion"] == legacy_version)
         & (r["execution"]["workloadID"] == SHORT)
         & failed_check
-        & nulled
-        & primary["eligible"]
+        & ~primary("decisions")["eligible"]
+        & primary("raw_decisions")["eligible"]
+    )
+    return evaluated.withColumn("recomputed", applies).withColumn(
+        "decisions", F.when(F.col("recomputed"), F.col("raw_decisions")).otherwise(F.col("decisions"))
     )
-    return evaluated.withColumn("recomputed", applies)
 
 
 def match_runners(

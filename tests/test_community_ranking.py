@@ -251,6 +251,49 @@ def test_legacy_metrics_are_recovered(spark):
     assert row.decisions[0].value == pytest.approx(expected)
 
 
+def _failed_text(body, runs):
+    """The first release's export of a result whose text check failed in some attempts."""
+    for a in (body["attempts"][n] for n in runs):
+        a["generatedText"] = "No."
+        a["responseConformance"] = {"status": "fail", "reasonCodes": ["response_conformance_failed"]}
+        a["derivedMetrics"] = dict.fromkeys(a["derivedMetrics"])
+    good = [a["derivedMetrics"] for n, a in enumerate(body["attempts"]) if n and n not in runs]
+    for name in body["summary"]["metrics"]:
+        field = name.removeprefix("median")
+        field = field[0].lower() + field[1:]
+        values = [m[field] for m in good if m.get(field) is not None]
+        body["summary"]["metrics"][name] = statistics.median(values) if len(values) >= 3 else None
+    return body
+
+
+def test_first_release_results_with_failed_texts_are_ranked(spark):
+    expected = release_result(SHORT)["summary"]["metrics"]
+    bodies = {
+        "all": _failed_text(release_result(SHORT), range(6)),
+        "two": _failed_text(release_result(SHORT), (1, 2)),
+        "none": release_result(SHORT),
+    }
+    lied = _failed_text(release_result(SHORT), range(6))
+    lied["attempts"][3]["generatedText"] = release_result(SHORT)["attempts"][3]["generatedText"]
+    kept = _failed_text(release_result(SHORT), range(6))
+    kept["summary"]["metrics"] = dict(expected)  # metrics that the rule should have nulled
+    items = [(who, body, True) for who, body in bodies.items()] + [("lied", lied, True), ("kept", kept, True)]
+    contributed, rejected = community.contributions(frame(spark, items))
+    rows = {r.contributor: r for r in contributed.collect()}
+    assert rows.keys() == bodies.keys()
+    primary = "medianFirstRenderableProxyTTFTMilliseconds"
+    assert {w: r.recomputed for w, r in rows.items()} == {"all": True, "two": False, "none": False}
+    assert rows["all"].metric_eligible[primary] and rows["all"].metric_values[primary] == pytest.approx(expected[primary])
+    assert rows["two"].metric_values[primary] == pytest.approx(bodies["two"]["summary"]["metrics"][primary])
+    assert {r.raw_path: set(r.protocol_reasons) for r in rejected.collect()} == {
+        "p/3.json": {"response_decision_mismatch"}, "p/4.json": {"aggregate_mismatch"},
+    }
+    cells = community.build_cells(contributed)
+    assert [(r.value, r.contributor_count) for r in community.ranked(cells).collect()] == [
+        (pytest.approx(statistics.median(r.metric_values[primary] for r in rows.values())), 3)
+    ]
+
+
 def one_cell(spark, values):
     return community.build_cells(contribution_rows(spark, values)).collect()[0]
 
