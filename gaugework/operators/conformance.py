@@ -18,7 +18,7 @@ Constraint = tuple[str, str, Any]
 
 FORMATS = {
     "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})$",
+    "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?([Zz]|[+-]([01]\d|2[0-3]):?[0-5]\d)$",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:.+",
 }
 _TYPE_NAMES = {
@@ -40,8 +40,8 @@ def let(value: Column, body) -> Column:
 
 def _tree(constraints: Sequence[Constraint]) -> dict:
     """Constraints by document node, so that every node is read once."""
-    root: dict = {"rows": [], "fields": {}, "items": None, "at": {}}
-    new = lambda: {"rows": [], "fields": {}, "items": None, "at": {}}
+    new = lambda: {"rows": [], "fields": {}, "items": None, "from": 0, "at": {}}
+    root = new()
     for path, keyword, argument in constraints:
         node = root
         for step in path.split(".") if path else []:
@@ -49,8 +49,9 @@ def _tree(constraints: Sequence[Constraint]) -> dict:
             if name:
                 node = node["fields"].setdefault(name, new())
             for index in indexes:
-                if index == "*":
+                if index.endswith("*"):  # all entries, or those from a position on
                     node["items"] = node["items"] or new()
+                    node["from"] = int(index[:-1] or 0)
                     node = node["items"]
                 else:
                     node = node["at"].setdefault(int(index), new())
@@ -58,8 +59,12 @@ def _tree(constraints: Sequence[Constraint]) -> dict:
     return root
 
 
-_OBJECT_KEYWORDS = {"required", "additionalProperties", "propertyNames", "minProperties"}
-_ARRAY_KEYWORDS = {"minItems", "maxItems", "uniqueItems"}
+_OBJECT_KEYWORDS = {"required", "additionalProperties", "furtherProperties", "propertyNames", "minProperties"}
+_ARRAY_KEYWORDS = {"minItems", "maxItems", "uniqueItems", "furtherItems"}
+
+
+# Messages name the keyword as the schema has it.
+_SHOWN = {"furtherProperties": "additionalProperties", "furtherItems": "items"}
 
 
 def _names(rows, keyword="type") -> set[str]:
@@ -112,6 +117,14 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
     if keyword == "additionalProperties":
         known = f"array({_quoted(argument)})" if argument else _NO_MESSAGES
         return f"size(array_except(map_keys({fields}), {known})) > 0"
+    if keyword == "furtherProperties":  # members that are not named have a schema of their own
+        names, rows = argument
+        known = f"array({_quoted(names)})" if names else _NO_MESSAGES
+        others = f"map_values(map_filter({fields}, (k{depth}, w{depth}) -> NOT array_contains({known}, k{depth})))"
+        inner = _messages(f"o{depth}", _tree(rows), "", depth + 1)
+        return f"exists({others}, o{depth} -> size({inner}) > 0)"
+    if keyword == "furtherItems":  # none are allowed behind the listed ones
+        return f"{entries} IS NOT NULL AND size({entries}) > {argument}"
     if keyword == "propertyNames":
         return f"exists(map_keys({fields}), k{depth} -> NOT k{depth} RLIKE {_quote(argument)})"
     if keyword == "minProperties":
@@ -125,7 +138,10 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
         if keyword == "minLength":
             return f"length({text}) < {argument}"
         pattern = argument if keyword == "pattern" else FORMATS[argument]
-        return f"NOT {text} RLIKE {_quote(pattern)}"
+        wrong = f"NOT {text} RLIKE {_quote(pattern)}"
+        if (keyword, argument) == ("format", "date-time"):  # the day must be one of its month
+            wrong += f" OR ({text} IS NOT NULL AND try_cast(substr({text}, 1, 10) AS date) IS NULL)"
+        return wrong
     if keyword in ("minItems", "maxItems"):
         sign = "<" if keyword == "minItems" else ">"
         return f"{entries} IS NOT NULL AND size({entries}) {sign} {argument}"
@@ -155,7 +171,7 @@ def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
     entries = f"a{depth}" if is_array else "cast(NULL AS array<variant>)"
     own = [
         f"CASE WHEN {_violates(value, fields, entries, k, a, depth)} THEN "
-        + _quote(f"{path}: {k}")
+        + _quote(f"{path}: {_SHOWN.get(k, k)}")
         + " END"
         for k, a in rows
         if k != "required"
@@ -178,7 +194,10 @@ def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
         inner = f"get({entries}, {index})"
         parts.append(_bind(inner, item, below(child, f"{path}[{index}]")))
     if node["items"]:
-        each = f"transform({entries}, {item} -> {below(node['items'], path + '[*]')})"
+        rest = entries
+        if node["from"]:  # the entries before are the listed ones
+            rest = f"slice({entries}, {node['from'] + 1}, greatest(size({entries}) - {node['from']}, 0))"
+        each = f"transform({rest}, {item} -> {below(node['items'], path + '[*]')})"
         parts.append(f"coalesce(array_distinct(flatten({each})), {_NO_MESSAGES})")
     found = f"concat({', '.join(parts)})" if parts else _NO_MESSAGES
     if is_array:
@@ -208,8 +227,13 @@ def constraints_of(schema: dict, root: dict | None = None, path: str = "") -> li
         elif keyword == "properties":
             for name, part in argument.items():
                 rows += constraints_of(part, root, f"{path}.{name}" if path else name)
+        elif keyword == "additionalProperties" and isinstance(argument, dict):
+            rows.append((path, "furtherProperties", (list(schema.get("properties", {})), own(argument))))
         elif keyword == "items" and isinstance(argument, dict):
-            rows += constraints_of(argument, root, f"{path}[*]")
+            listed = len(schema.get("prefixItems", ())) or ""
+            rows += constraints_of(argument, root, f"{path}[{listed}*]")
+        elif keyword == "items" and argument is False:
+            rows.append((path, "furtherItems", len(schema.get("prefixItems", ()))))
         elif keyword == "prefixItems":
             for i, part in enumerate(argument):
                 rows += constraints_of(part, root, f"{path}[{i}]")

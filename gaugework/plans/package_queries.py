@@ -197,7 +197,7 @@ def derived_packages(spark, sf):
             lowPowerModeAtStart=False,
             thermalStateAtStart="nominal",
             thermalStateAtEnd="nominal",
-            thermalAssistance=F.when(k % 37 == 3, "cooling").otherwise("none"),
+            thermalAssistance=F.when(k % 37 == 3, "deliberate-cooling").otherwise("none"),
         ),
         artifacts=F.array().cast("array<string>"),
         payload=_named(

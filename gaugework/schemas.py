@@ -107,7 +107,7 @@ def closed(optional: tuple[str, ...] = (), **fields) -> dict:
 
 
 _TEXT = {"type": "string", "minLength": 1}
-_ANY_TEXT = {"type": "string"}
+_MOMENT = {"type": "string", "format": "date-time"}
 _SHA = {"type": "string", "pattern": "^[0-9a-f]{64}$"}
 _COUNT = {"type": "integer", "minimum": 0}
 _COUNT_OR_NULL = {"type": ["integer", "null"], "minimum": 0}
@@ -144,7 +144,7 @@ def submission_schema() -> dict:
 def result_schema() -> dict:
     event = closed(
         index=_COUNT,
-        tokenID=_COUNT,
+        tokenID={"type": "integer"},
         receivedNanoseconds=_COUNT,
         decodedAtNanoseconds=_COUNT_OR_NULL,
         decodedPrefix={"type": ["string", "null"]},
@@ -153,13 +153,13 @@ def result_schema() -> dict:
     )
     attempt = closed(
         optional=("failure",),
-        index=_COUNT,
+        index={"type": "integer", "minimum": 0, "maximum": 5},
         phase={"enum": ["warmup", "measured"]},
         outcome={"enum": ["succeeded", "failed", "cancelled", "oom", "not-run"]},
-        startedAt=_TEXT,
-        endedAt=_TEXT,
+        startedAt=_MOMENT,
+        endedAt=_MOMENT,
         monotonic=closed(
-            clock=_TEXT,
+            clock={"const": "continuous-clock"},
             requestAcceptedNanoseconds=_COUNT,
             firstTokenNanoseconds=_COUNT_OR_NULL,
             firstRenderableNanoseconds=_COUNT_OR_NULL,
@@ -168,7 +168,7 @@ def result_schema() -> dict:
             decodeNanoseconds=_COUNT_OR_NULL,
         ),
         tokenCounts=closed(input=_COUNT_OR_NULL, output=_COUNT),
-        tokenEvents={"type": "array", "items": event},
+        tokenEvents={"type": "array", "maxItems": 512, "items": event},
         generatedText={"type": ["string", "null"]},
         memory=closed(
             peakPhysicalFootprintBytes=_COUNT_OR_NULL,
@@ -185,13 +185,15 @@ def result_schema() -> dict:
                 "items": closed(elapsedNanoseconds=_COUNT, state=_STATE),
             },
         ),
-        failure={"type": ["object", "null"]},
+        failure=closed(code=_TEXT, message=_TEXT) | {"type": ["object", "null"]},
     )
+    succeeded = {"properties": {"outcome": {"const": "succeeded"}}}
+    attempt |= {"if": succeeded, "then": {"properties": {"failure": {"type": "null"}}}}
     return closed(
         schemaVersion={"const": RESULT_VERSION},
         resultID={"type": "string", "format": "uuid"},
         createdAt={"type": "string", "format": "date-time"},
-        productID=_TEXT,
+        productID={"const": "power"},
         program=_REFERENCE,
         target=_REFERENCE,
         runnerCertificateID=_TEXT,
@@ -211,13 +213,22 @@ def result_schema() -> dict:
         device=closed(machineIdentifier=_TEXT, osVersion=_TEXT, osBuild=_TEXT),
         environment=closed(
             batteryLevelAtStart={"type": ["number", "null"], "minimum": 0, "maximum": 1},
-            batteryStateAtStart=_ANY_TEXT,
+            batteryStateAtStart={"enum": ["unplugged", "charging", "full", "unknown"]},
             lowPowerModeAtStart=_FLAG,
             thermalStateAtStart=_STATE,
             thermalStateAtEnd=_STATE,
-            thermalAssistance=_TEXT,
+            thermalAssistance={
+                "enum": ["none", "deliberate-cooling", "deliberate-heating", "other-assisted", "unknown"]
+            },
         ),
-        artifacts={"type": "array"},
+        artifacts={
+            "type": "array",
+            # a package with any is refused by its contract, so a short one need not be named twice
+            "items": closed(
+                ("path", "sha256", "mediaType", "byteCount"),
+                path=_TEXT, sha256=_SHA, mediaType=_TEXT, byteCount=_COUNT,
+            ),
+        },
         payload=closed(
             schemaVersion=_TEXT,
             workload=closed(id=_TEXT, version=_TEXT, sha256=_SHA),
@@ -228,14 +239,19 @@ def result_schema() -> dict:
                 "minItems": 6,
                 "maxItems": 6,
                 "items": attempt,
-                "prefixItems": [
+                # beside `items`, which behind listed ones would not look at these
+                "allOf": [
                     {
-                        "properties": {
-                            "index": {"const": i},
-                            "phase": {"const": "warmup" if i == 0 else "measured"},
-                        }
+                        "prefixItems": [
+                            {
+                                "properties": {
+                                    "index": {"const": i},
+                                    "phase": {"const": "warmup" if i == 0 else "measured"},
+                                }
+                            }
+                            for i in range(6)
+                        ]
                     }
-                    for i in range(6)
                 ],
             },
         ),

@@ -130,6 +130,19 @@ SCHEMAS = [
     ({"uniqueItems": True}, "[1, 1]", ["$.v: uniqueItems"]),
     ({"items": {"type": "string"}}, '["a", 1]', ["$.v[*]: type"]),
     ({"prefixItems": [{"const": 1}, {"const": 2}]}, "[1, 3]", ["$.v[1]: const"]),
+    ({"prefixItems": [{"const": 1}], "items": {"type": "string"}}, '[1, "a", 2]', ["$.v[*]: type"]),
+    ({"prefixItems": [{"const": 1}, {}], "items": {"type": "string"}}, "[1]", []),
+    ({"prefixItems": [{"const": 1}], "items": False}, "[1, 2]", ["$.v: items"]),
+    ({"prefixItems": [{"const": 1}], "items": False}, "[1]", []),
+    ({"properties": {"a": {}}, "additionalProperties": {"type": "string"}}, '{"a": 1, "b": 2}', ["$.v: additionalProperties"]),
+    ({"properties": {"a": {}}, "additionalProperties": {"type": "string"}}, '{"a": 1, "b": "x"}', []),
+    ({"additionalProperties": {"items": {"minimum": 2}}}, '{"b": [1]}', ["$.v: additionalProperties"]),
+    ({"format": "date-time"}, '"2026-13-01T12:00:00Z"', ["$.v: format"]),
+    ({"format": "date-time"}, '"2026-02-29T12:00:00Z"', ["$.v: format"]),
+    ({"format": "date-time"}, '"2024-02-29T23:59:59.5+05:30"', []),
+    ({"format": "date-time"}, '"2026-02-01T24:00:00Z"', ["$.v: format"]),
+    ({"format": "date-time"}, '"2026-02-01T12:60:00Z"', ["$.v: format"]),
+    ({"format": "date-time"}, "5", []),
     ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, "4", ["$.v: allOf"]),
     ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, "2", ["$.v: oneOf"]),
     ({"if": {"minimum": 5}, "then": {"maximum": 7}, "else": {"const": 1}}, "8", ["$.v: if"]),
