@@ -15,6 +15,7 @@ MODULES = (
     "package_queries",
     "source_queries",
     "review_queries",
+    "adoption_queries",
 )
 
 
