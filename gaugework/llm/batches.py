@@ -73,13 +73,16 @@ def map_texts(
 def one_row_each(rows: DataFrame, key: str) -> DataFrame:
     """One row a key, whichever has the least hash: the same one however rows are partitioned."""
     rest = [c for c in rows.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(F.xxhash64(*rest), *rest))
+    first = F.min_by(F.struct(*rest), F.xxhash64(*rest))
     return rows.groupBy(key).agg(first.alias("__row")).select(key, "__row.*")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes rows once to the folder all executors share and reads them back."""
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Writes rows once to the folder all executors share and reads them back.
+
+    `compression` is the Parquet codec, the session's by default.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Fits the trees on at most `rows` labelled documents.
 
     The rows are those whose ids hash lowest among all labelled ids, and of rows
-    with one id the one whose text hashes lowest, so the sample does not depend
+    with one id the one whose statistics hash lowest, so the sample does not depend
     on order or partitioning.  Ids labelled both ways are left out.  A third of the sample is held back to set the threshold: the
     score under which `GOOD_REJECTED` of its good rows fall.  With fewer than
     two classes in the labels the verdict keeps every document.
@@ -118,13 +118,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     if len(set(map(bool, picked.values()))) < 2:
         return Forest.constant(len(FEATURES))
     ids = spark.createDataFrame([(i,) for i in picked], "doc_id long")
-    # at most `rows` ids, so the hint is bounded; of rows with one id, one is kept before any comes to the driver
-    used = one_row_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id")
+    # at most `rows` ids, so the hint is bounded
+    used = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def make():
         return lambda texts, _: {"features": [statistics(t)[1] for t in texts]}
 
-    got = map_texts(used, ["doc_id"], "text", "features array<double>", make).toPandas()
+    # Of rows with one id, one is kept before any comes to the driver; texts are not shuffled.
+    got = one_row_each(map_texts(used, ["doc_id"], "text", "features array<double>", make), "doc_id").toPandas()
     if got.empty:
         return Forest.constant(len(FEATURES))
     got = got.sort_values("doc_id")
