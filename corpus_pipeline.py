@@ -19,7 +19,7 @@ REPLACEMENT = "[secret]"
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents written once with a number a row, since ids may be null or repeat."""
-    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "zstd")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
