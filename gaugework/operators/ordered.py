@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.operators.hot_keys import large_keys
 from gaugework.session import materialize, rows_per_slice, slice_count
 
 SLICE = "_slice"
@@ -39,19 +40,23 @@ def by_size(
     keys: Sequence[str],
     plain: Callable[[DataFrame], DataFrame],
     sliced: Callable[[DataFrame], DataFrame],
+    landed: bool = False,
 ) -> DataFrame:
-    """`plain` over the keys that fit into one slice, `sliced` over the larger ones."""
-    kept = materialize(df)
+    """`plain` over the keys that fit into one slice, `sliced` over the larger ones.
+
+    `landed` rows are read from tables and cheap to read again, so they are not
+    written once more.
+    """
+    kept = df if landed else materialize(df)
     limit = rows_per_slice(kept)
     if kept.count() <= limit:
         return plain(kept)
     if not keys:
         return sliced(kept)
-    large = materialize(
-        kept.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(
-            *[F.col(k).alias(f"_l_{k}") for k in keys]
-        )
-    )
+    found = large_keys(kept, keys, limit)
+    if found is None:
+        return plain(kept)
+    large = materialize(found.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
     if large.isEmpty():
         return plain(kept)
     same = _same(keys, "_l_")
@@ -88,7 +93,7 @@ def _attach(sliced: DataFrame, carry: DataFrame, keys: Sequence[str], how: str =
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, landed: bool = False
 ) -> DataFrame:
     """1-based position of each row inside its key; `order` must be a total order."""
 
@@ -104,7 +109,7 @@ def number_rows(
         )
 
     number = F.row_number().over(_over(keys, order)).cast("long")
-    return by_size(df, keys, lambda rows: rows.withColumn(name, number), sliced)
+    return by_size(df, keys, lambda rows: rows.withColumn(name, number), sliced, landed)
 
 
 def running_totals(
@@ -198,6 +203,7 @@ def as_of(
     at: str,
     values: Sequence[str],
     strict: bool = True,
+    landed: bool = False,
 ) -> DataFrame:
     """Every row of `left` with the `values` of the last `right` row of its key before its moment.
 
@@ -228,7 +234,7 @@ def as_of(
         return asked_rows(_attach(cut, carry, keys).withColumn("_found", found))
 
     return by_size(
-        both, keys, lambda rows: asked_rows(rows.withColumn("_found", newest_in(keys))), sliced
+        both, keys, lambda rows: asked_rows(rows.withColumn("_found", newest_in(keys))), sliced, landed
     )
 
 
@@ -260,14 +266,21 @@ def exact_percentiles(
     fractions: dict[str, float],
     also: Also | None = None,
     count: str | None = None,
+    together: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key with exact, linearly interpolated percentiles of `value`.
 
     Keys whose values are all null keep a row with null percentiles.  The input
     is read once: everything else works on its distinct (key, value) rows.
     `count` names a column that says how often a row counts; once by default.
+
+    With `together`, some of the keys, the input is read twice and written never:
+    its rows are counted by them, and go straight to their task by them.  That
+    suits many small groups, whose values are nearly all distinct.
     """
     also = also or {}
+    if together:
+        return _together(df, keys, value, fractions, also, count, together)
     number = F.col(value).cast("double")
     counted = df.groupBy(*keys, number.alias("_v")).agg(
         (F.sum(count) if count else F.count("*")).alias("_n"),
@@ -285,6 +298,27 @@ def exact_percentiles(
     return by_size(counted, keys, plain, lambda distinct: _sliced_percentiles(distinct, keys, fractions, also, merged))
 
 
+def _together(df, keys, value, fractions, also, count, together) -> DataFrame:
+    number = F.col(value).cast("double")
+    often = F.when(number.isNotNull(), F.coalesce(count, F.lit(0)) if count else F.lit(1)).otherwise(0)
+
+    def direct(rows: DataFrame) -> DataFrame:
+        found = rows.repartition(*together).groupBy(*keys).agg(
+            F.percentile(number, [*fractions.values()], often).alias("_p"),
+            *[first.alias(n) for n, (first, _) in also.items()],
+        )
+        return found.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(fractions)], *also)
+
+    large = large_keys(df, together, rows_per_slice(df))
+    if large is None:
+        return direct(df)
+    # At most rows / limit keys, so their list goes to every task.
+    large = F.broadcast(large.select(*[F.col(k).alias(f"_l_{k}") for k in together]))
+    same = _same(together, "_l_")
+    others = exact_percentiles(df.join(large, same, "left_semi"), keys, value, fractions, also, count)
+    return direct(df.join(large, same, "left_anti")).unionByName(others)
+
+
 def _sliced_percentiles(counted, keys, fractions, also, merged) -> DataFrame:
     distinct = ordered_slices(counted, keys, [F.col("_v")])
     sliced = distinct.where(F.col("_v").isNotNull())
@@ -334,8 +368,9 @@ def exact_median(
     name: str,
     also: Also | None = None,
     count: str | None = None,
+    together: Sequence[str] = (),
 ) -> DataFrame:
-    return exact_percentiles(df, keys, value, {name: 0.5}, also, count)
+    return exact_percentiles(df, keys, value, {name: 0.5}, also, count, together)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

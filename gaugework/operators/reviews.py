@@ -53,62 +53,66 @@ def _earliest(candidates: DataFrame, suffix: str) -> DataFrame:
     )
 
 
-def fold_reviews(records: DataFrame, supports: DataFrame, record: str = "review_id") -> DataFrame:
+def fold_reviews(
+    records: DataFrame, supports: DataFrame, record: str = "review_id", landed: bool = False
+) -> DataFrame:
     """Every record with its verdict and the level it found and left behind.
 
     records: review_id, name, reviewed_at, submission_id, review_type,
     previous_level, assigned_level, static_ok (digests and package checks).
     supports: review_id, supporting_id, support_ok (identity, independence).
     `record` is the column that says which record a support is named by:
-    `name` where review ids may repeat.
+    `name` where review ids may repeat.  `landed` records are read from a table.
     """
     order = [F.col("reviewed_at"), F.col("name")]
-    numbered = number_rows(records, ["review_id"], order, "_use").withColumn(
-        "_at", F.struct(*order)
-    )
+    numbered = number_rows(records, ["review_id"], order, "_use", landed)
     counts = supports.groupBy(record).agg(
         F.count("*").alias("_n"), F.bool_and("support_ok").alias("_ok")
     )
-    known = lookup(numbered, counts, [record], "left", ["name"])
+    known = lookup(numbered, counts, [record], "left", ["name"], records)
     reproduction = F.col("review_type") == "reproduction-review"
     has_supports = F.coalesce(F.col("_n") > 0, F.lit(False))
-    static = known.withColumn(
-        "_static",
-        F.col("static_ok")
-        & (F.col("_use") == 1)
-        & transition_allowed(
-            F.col("review_type"), F.col("previous_level"), F.col("assigned_level")
+    # Written once; the moments of a record are put together where they are compared.
+    static = materialize(
+        known.withColumn(
+            "_static",
+            F.col("static_ok")
+            & (F.col("_use") == 1)
+            & transition_allowed(
+                F.col("review_type"), F.col("previous_level"), F.col("assigned_level")
+            )
+            & (reproduction == has_supports)
+            & F.coalesce("_ok", F.lit(True)),
         )
-        & (reproduction == has_supports)
-        & F.coalesce("_ok", F.lit(True)),
     )
-    # Each step below reads the rows of the step before twice.
-    static = materialize(static)
-    usable = static.where("_static")
-    first = _earliest(usable.where("previous_level = 'unreviewed'"), "")
-    facts = _support_facts(supports, first, record).select(record, "_all_accepted", "_last_accepted")
-    dated = _with_first(static, first, facts, record)
-    supported = F.col("_all_accepted").isNull() | (
-        F.col("_all_accepted") & (F.col("_last_accepted") < F.col("_at"))
+    moment = F.struct(*order).alias("_at")
+    # The steps are looked for in the few columns they need, and only then meet whole records.
+    usable = static.where("_static").select(
+        *dict.fromkeys([record, "name", "submission_id", "previous_level", "assigned_level"]), moment
     )
-    dated = materialize(dated.withColumn("_supported", supported))
-    second_candidates = dated.where(
-        F.col("_static")
-        & F.col("_supported")
-        & (F.col("previous_level") == "community-submitted")
-        & (F.col("_level1") == "community-submitted")
-        & (F.col("_at") > F.col("_at1"))
+    first = materialize(_earliest(usable.where("previous_level = 'unreviewed'"), "1"))
+    facts = materialize(
+        _support_facts(supports, first.withColumnRenamed("_at1", "_at"), record).select(
+            record, "_all_accepted", "_last_accepted"
+        )
     )
-    second = _earliest(second_candidates, "2")
-    stepped = materialize(lookup(dated, second, ["submission_id"], "left", ["review_id"]))
-    third_candidates = stepped.where(
-        F.col("_static")
-        & (F.col("previous_level") == "reproduced")
-        & (F.col("_level2") == "reproduced")
-        & (F.col("_at") > F.col("_at2"))
+    supported = F.col("_all_accepted").isNull() | (
+        F.col("_all_accepted") & (F.col("_last_accepted") < F.col("_at"))
     )
+    # Rows that a left join would keep without a first step are no candidates: `_level1` is null there.
+    second_candidates = lookup(
+        usable.where("previous_level = 'community-submitted'"), first, ["submission_id"], "inner", ["name"]
+    ).where((F.col("_level1") == "community-submitted") & (F.col("_at") > F.col("_at1")))
+    second_candidates = lookup(second_candidates, facts, [record], "left", ["name"], usable).where(supported)
+    second = materialize(_earliest(second_candidates, "2"))
+    third_candidates = lookup(
+        usable.where("previous_level = 'reproduced'"), second, ["submission_id"], "inner", ["name"]
+    ).where((F.col("_level2") == "reproduced") & (F.col("_at") > F.col("_at2")))
     third = _earliest(third_candidates, "3")
-    final = lookup(stepped, third, ["submission_id"], "left", ["review_id"])
+    steps = materialize(first.join(second, "submission_id", "left").join(third, "submission_id", "left"))
+    stepped = lookup(static, steps, ["submission_id"], "left", ["review_id"])
+    final = lookup(stepped, facts, [record], "left", ["name"], static).withColumn("_at", moment)
+    final = final.withColumn("_supported", supported)
     after = lambda n: F.coalesce(F.col("_at") > F.col(f"_at{n}"), F.lit(False))
     found = (
         F.when(after(3), F.col("_level3"))
@@ -146,14 +150,6 @@ def fold_reviews(records: DataFrame, supports: DataFrame, record: str = "review_
     )
 
 
-def _with_first(static: DataFrame, first: DataFrame, facts: DataFrame, record: str) -> DataFrame:
-    start = first.select(
-        "submission_id", F.col("_at").alias("_at1"), F.col("_level").alias("_level1")
-    )
-    both = lookup(static, start, ["submission_id"], "left", ["review_id"])
-    return lookup(both, facts, [record], "left", ["name"])
-
-
 def evidence_levels(submissions: DataFrame, folded: DataFrame) -> DataFrame:
     """Level of every submission; unreviewed without a valid record."""
     levels = folded.groupBy("submission_id").agg(F.first("final_level").alias("evidence_level"))

@@ -30,6 +30,7 @@ COMPARED = (
     ("runtime", "$.runtime"),
     ("device", "$.device"),
 )
+FOLDED = ("name", "review_id", "submission_id", "reviewed_at", "review_type", "previous_level", "assigned_level")
 PACKAGE_FACTS = (
     "valid", "manifest_sha256", "result_sha256", "result_id", "session_id", "contributor", "identity",
 )
@@ -105,7 +106,7 @@ def _supports(records: DataFrame, packages: DataFrame) -> DataFrame:
         named, _known(packages, "submission_id", "own_"), ["submission_id"], "left", ["name", "supporting_id"]
     )
     both = lookup(
-        reviewed, _known(packages, "supporting_id", "their_"), ["supporting_id"], "left", ["name", "supporting_id"]
+        reviewed, _known(packages, "supporting_id", "their_"), ["supporting_id"], "left", ["name", "supporting_id"], named
     )
     same = lambda field: F.col(f"own_{field}").eqNullSafe(F.col(f"their_{field}"))
     handle = lambda side: F.lower(F.coalesce(f"{side}_contributor", F.lit("")))
@@ -146,20 +147,20 @@ def judge_reviews(records: DataFrame, packages: DataFrame) -> tuple[DataFrame, D
         (differs("result_id"), "result-id-mismatch"),
         (differs("result_sha256"), "result-digest-mismatch"),
     )
-    # Written: the fold reads both several times.
+    # Written: the fold reads both several times; what the checks compared is not needed again.
     judged = materialize(
-        checked.select(*records.columns, static.alias("static_errors")).withColumn(
+        checked.select(*FOLDED, static.alias("static_errors")).withColumn(
             "static_ok", F.size("static_errors") == 0
         )
     )
     named = materialize(_supports(records, packages))
     supports = named.select("name", "supporting_id", (F.size("why") == 0).alias("support_ok"))
-    folded = materialize(reviews.fold_reviews(judged, supports, "name"))
+    folded = materialize(reviews.fold_reviews(judged, supports, "name", landed=True))
     moment = F.struct("reviewed_at", "name")
     steps = folded.where("valid").select(
         F.col("submission_id").alias("supporting_id"), moment.alias("at"), F.col("assigned_level").alias("level")
     )
-    placed = as_of(named.withColumn("at", moment), steps, ["supporting_id"], "at", ["level"])
+    placed = as_of(named.withColumn("at", moment), steps, ["supporting_id"], "at", ["level"], landed=True)
     level = F.coalesce("level", F.lit("unreviewed"))
     accepted = level.isin(*rules.ACCEPTED_LEVELS)
     held = placed.select(
