@@ -66,6 +66,7 @@ def result_values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         "metric_value",
         "_median",
         {"eligible_attempts": (F.count("metric_value"), F.sum), "_max": (F.max("metric_value"), F.max)},
+        together=keys,
     )
     value = F.when(F.col("metric_id").isin(maxima), F.col("_max")).otherwise(F.col("_median"))
     return summary.select(*keys, "metric_id", value.alias("value"), "eligible_attempts")
