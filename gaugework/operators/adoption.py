@@ -44,21 +44,29 @@ def entry_violations(entries: DataFrame, results: DataFrame, reports: DataFrame)
         F.struct("sha256", "identity_ok", *IDENTITY).alias("raw"),
     )
     report = reports.select("report_path", F.struct("sha256", "errors", *DECISIONS).alias("report"))
-    with_raw = lookup(entries, raw, ["raw_path"], "left", ["entry_id"])
-    both = lookup(with_raw, report, ["report_path"], "left", ["entry_id"])
+    # Either side takes only what it compares into its shuffle.
+    with_raw = lookup(
+        entries.select("entry_id", "raw_path", "raw_sha256", *IDENTITY), raw, ["raw_path"], "left", ["entry_id"], entries
+    )
+    with_report = lookup(
+        entries.select("entry_id", "report_path", "report_sha256", *DECISIONS),
+        report, ["report_path"], "left", ["entry_id"], entries,
+    )
     there, told = F.col("raw").isNotNull(), F.col("report").isNotNull()
     differs = lambda side, field: F.col(side).isNotNull() & ~F.col(field).eqNullSafe(F.col(side)[field])
-    rules = [
+    raw_rules = [
         (~there, "raw-missing"),
-        (~told, "report-missing"),
         (there & ~F.col("raw_sha256").eqNullSafe(F.col("raw")["sha256"]), "raw-digest-mismatch"),
-        (told & ~F.col("report_sha256").eqNullSafe(F.col("report")["sha256"]), "report-digest-mismatch"),
-        (told & (F.size(F.col("report")["errors"]) > 0), "report-pair-invalid"),
         (there & ~F.coalesce(F.col("raw")["identity_ok"], F.lit(False)), "source-identity-mismatch"),
         *[(differs("raw", f), f"{f.replace('_', '-')}-mismatch") for f in IDENTITY],
+    ]
+    report_rules = [
+        (~told, "report-missing"),
+        (told & ~F.col("report_sha256").eqNullSafe(F.col("report")["sha256"]), "report-digest-mismatch"),
+        (told & (F.size(F.col("report")["errors"]) > 0), "report-pair-invalid"),
         *[(differs("report", f), f"{f.replace('_', '-')}-decision-mismatch") for f in DECISIONS],
     ]
-    return _rows(both, rules, "entry_id")
+    return _rows(with_raw, raw_rules, "entry_id").unionByName(_rows(with_report, report_rules, "entry_id"))
 
 
 def matrix_violations(entries: DataFrame, workloads: Sequence[str], artifacts: int | None = None) -> DataFrame:
