@@ -21,27 +21,46 @@ def verify_reports(pairs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Da
     (recomputed), right (stored), as from `compare_documents`.  Only reports
     whose sorted text is not that of their recomputation are taken apart.
     """
-    is_object = lambda c: F.coalesce(
-        F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False)
+    # Every text is parsed once, in a projection of its own: the checks below name each many times.
+    parsed = pairs.select(
+        *keys,
+        "recomputed",
+        "report",
+        F.sha2("content", 256).alias("_digest"),
+        F.try_parse_json("content").alias("_content"),
+        F.try_parse_json("report").alias("_stored"),
+        F.to_json(F.try_parse_json("recomputed")).alias("_canonical"),
+    )
+    is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+    part = lambda c, path: F.try_variant_get(c, path, "string")
+    reference = F.try_variant_get("_stored", "$.result", "variant")
+    read = parsed.select(
+        *keys,
+        "recomputed",
+        "report",
+        "_digest",
+        (is_object(F.col("_content")) & is_object(F.col("_stored"))).alias("_both"),
+        (reference.isNotNull() & F.schema_of_variant(reference).startswith("OBJECT")).alias("_refers"),
+        *[part("_stored", f"$.result.{n}").alias(f"_{n}") for n in ("sha256", "id", "schemaVersion")],
+        part("_content", "$.resultID").alias("_result_id"),
+        part("_content", "$.schemaVersion").alias("_result_schema"),
+        (~F.col("_canonical").eqNullSafe(F.to_json("_stored"))).alias("_unlike"),
     )
-    part = lambda c, path: F.try_variant_get(F.try_parse_json(c), path, "string")
-    both = is_object("content") & is_object("report")
-    reference = F.try_variant_get(F.try_parse_json("report"), "$.result", "variant")
-    bound = both & reference.isNotNull() & F.schema_of_variant(reference).startswith("OBJECT")
-    differs = lambda path, value: bound & ~part("report", path).eqNullSafe(value)
+    both = F.col("_both")
+    bound = both & F.col("_refers")
+    differs = lambda stated, value: bound & ~F.col(stated).eqNullSafe(F.col(value))
     errors = reasons(
         (~both, "result-and-report-must-be-objects"),
         (both & ~F.coalesce(bound, F.lit(False)), "report-has-no-result-reference"),
-        (differs("$.result.sha256", F.sha2("content", 256)), "report-does-not-bind-result"),
-        (differs("$.result.id", part("content", "$.resultID")), "result-id-mismatch"),
-        (differs("$.result.schemaVersion", part("content", "$.schemaVersion")), "result-schema-mismatch"),
+        (differs("_sha256", "_digest"), "report-does-not-bind-result"),
+        (differs("_id", "_result_id"), "result-id-mismatch"),
+        (differs("_schemaVersion", "_result_schema"), "result-schema-mismatch"),
     )
-    canonical = lambda c: F.to_json(F.try_parse_json(c))
     kept = materialize(
-        pairs.select(
+        read.select(
             *keys,
             errors.alias("_errors"),
-            F.when(~canonical("recomputed").eqNullSafe(canonical("report")), F.struct("recomputed", "report")).alias("_texts"),
+            F.when(F.col("_unlike"), F.struct("recomputed", "report")).alias("_texts"),
         )
     )
     unlike = kept.where(F.col("_texts").isNotNull())
