@@ -90,13 +90,16 @@ def _bind(value: str, name: str, body: str) -> str:
 _NO_MESSAGES = "cast(array() AS array<string>)"
 
 
-def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any, depth: int) -> str:
+def _violates(
+    value: str, fields: str, entries: str, keyword: str, argument: Any, depth: int, kind: str = ""
+) -> str:
     """SQL that is true when a present value breaks the keyword.
 
     `fields` is the value as a map when it is an object, `entries` as an array
-    when it is one; otherwise they are null.
+    when it is one; otherwise they are null.  `kind` names its schema if that
+    is at hand.
     """
-    kind = f"schema_of_variant({value})"
+    kind = kind or f"schema_of_variant({value})"
     numeric = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
     if keyword == "type":
         fits = []
@@ -121,8 +124,7 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
         names, rows = argument
         known = f"array({_quoted(names)})" if names else _NO_MESSAGES
         others = f"map_values(map_filter({fields}, (k{depth}, w{depth}) -> NOT array_contains({known}, k{depth})))"
-        inner = _messages(f"o{depth}", _tree(rows), "", depth + 1)
-        return f"exists({others}, o{depth} -> size({inner}) > 0)"
+        return f"exists({others}, o{depth} -> {_breaks(f'o{depth}', _tree(rows), depth + 1)})"
     if keyword == "furtherItems":  # none are allowed behind the listed ones
         return f"{entries} IS NOT NULL AND size({entries}) > {argument}"
     if keyword == "propertyNames":
@@ -148,7 +150,7 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
     if keyword == "uniqueItems":
         texts = f"transform({entries}, e{depth} -> to_json(e{depth}))"
         return f"size(array_distinct({texts})) < size({entries})"
-    broken = lambda rows: f"(size({_messages(value, _tree(rows), '', depth + 1)}) > 0)"
+    broken = lambda rows: f"({_breaks(value, _tree(rows), depth + 1)})"
     if keyword == "allOf":
         return " OR ".join(broken(rows) for rows in argument)
     if keyword == "oneOf":
@@ -159,14 +161,60 @@ def _violates(value: str, fields: str, entries: str, keyword: str, argument: Any
     raise ValueError(f"unsupported keyword {keyword}")
 
 
-def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
-    """SQL for the messages of one present node and everything below it."""
+def _shape(node: dict) -> tuple[bool, bool]:
+    """Whether the constraints of a node need its members, and its entries."""
     rows, keywords = node["rows"], {k for k, _ in node["rows"]}
     types = _names(rows)
     is_object = bool(node["fields"]) or "object" in types or bool(keywords & _OBJECT_KEYWORDS)
     is_array = (
         bool(node["items"] or node["at"]) or "array" in types or bool(keywords & _ARRAY_KEYWORDS)
     )
+    return is_object, is_array
+
+
+def _breaks(value: str, node: dict, depth: int = 0) -> str:
+    """SQL that is true when one present node, or anything below it, has a message.
+
+    The same tests as in `_messages`, which builds several arrays a node; here
+    a node that conforms builds none, and the first broken rule ends the search.
+    """
+    rows = node["rows"]
+    is_object, is_array = _shape(node)
+    fields = f"f{depth}" if is_object else "cast(NULL AS map<string,variant>)"
+    entries = f"a{depth}" if is_array else "cast(NULL AS array<variant>)"
+    kind, plain = f"kind_{depth}_", f"schema_of_variant({value})"
+    own = [_violates(value, fields, entries, k, a, depth, kind) for k, a in rows if k != "required"]
+    tests = [f"coalesce({x}, false)" for x in own]
+    if sum(x.count(kind) for x in own) == 1:
+        tests = [x.replace(kind, plain) for x in tests]
+    elif any(kind in x for x in own):
+        tests = [f"exists(array({plain}), {kind} -> {' OR '.join(tests)})"]
+    needed = [a for k, a in rows if k == "required"]
+    if needed:
+        tests.append(f"coalesce(size(array_except(array({_quoted(needed)}), map_keys({fields}))) > 0, false)")
+    item = f"v{depth}"
+    below = lambda child: f"{item} IS NOT NULL AND ({_breaks(item, child, depth + 1)})"
+    for name, child in node["fields"].items():
+        tests.append(f"exists(array(try_element_at({fields}, {_quote(name)})), {item} -> {below(child)})")
+    for index, child in node["at"].items():
+        tests.append(f"exists(array(get({entries}, {index})), {item} -> {below(child)})")
+    if node["items"]:
+        rest = entries
+        if node["from"]:
+            rest = f"slice({entries}, {node['from'] + 1}, greatest(size({entries}) - {node['from']}, 0))"
+        tests.append(f"coalesce(exists({rest}, {item} -> {below(node['items'])}), false)")
+    found = " OR ".join(tests) or "false"
+    if is_array:
+        found = f"exists(array(try_variant_get({value}, '$', 'array<variant>')), {entries} -> {found})"
+    if is_object:
+        found = f"exists(array(try_variant_get({value}, '$', 'map<string,variant>')), {fields} -> {found})"
+    return found
+
+
+def _messages(value: str, node: dict, path: str, depth: int = 0) -> str:
+    """SQL for the messages of one present node and everything below it."""
+    rows = node["rows"]
+    is_object, is_array = _shape(node)
     fields = f"f{depth}" if is_object else "cast(NULL AS map<string,variant>)"
     entries = f"a{depth}" if is_array else "cast(NULL AS array<variant>)"
     own = [
@@ -257,6 +305,11 @@ def conformance_reasons(document: str, constraints: Sequence[Constraint]) -> Col
     return F.expr(f"array_distinct({_messages(document, _tree(constraints), '$')})")
 
 
+def breaks_schema(document: str, constraints: Sequence[Constraint]) -> Column:
+    """Whether `conformance_reasons` has any message for the document, without making them."""
+    return F.expr(_breaks(document, _tree(constraints)))
+
+
 def conformance_rows(
     df: DataFrame, keys: Sequence[str], text: str, constraints: Sequence[Constraint]
 ) -> DataFrame:

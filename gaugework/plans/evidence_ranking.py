@@ -24,8 +24,8 @@ from gaugework.functions.numbers import reasons
 from gaugework.functions.text import normalized_texts
 from gaugework.operators import attempts as attempt_ops
 from gaugework.operators import behaviour, cells, decisions, eligibility, integrity
-from gaugework.operators.conformance import conformance_reasons, constraints_of
-from gaugework.operators.hot_keys import lookup
+from gaugework.operators.conformance import breaks_schema, constraints_of
+from gaugework.operators.hot_keys import lookup, small
 from gaugework.operators.integrity import fixed_rows
 from gaugework.operators.metrics import metric_status
 from gaugework.operators.ordered import number_rows
@@ -63,7 +63,7 @@ def _status(codes: Column) -> tuple[Column, Column]:
 
 
 def parse_packages(packages: DataFrame) -> DataFrame:
-    """packages: package_id, submission, result (bytes), file_set_valid, author."""
+    """packages: package_id, submission, result (bytes), file_set_valid, author; duplicate is kept."""
     text = lambda c: F.try_validate_utf8(F.col(c).cast("string"))
     return packages.select(
         "package_id",
@@ -73,6 +73,7 @@ def parse_packages(packages: DataFrame) -> DataFrame:
         F.sha2(F.coalesce("result", F.lit("").cast("binary")), 256).alias("result_sha256"),
         text("submission").alias("submission_text"),
         text("result").alias("result_text"),
+        *[c for c in packages.columns if c == "duplicate"],
     ).select(
         "*",
         F.from_json("submission_text", schemas.SUBMISSION).alias("s"),
@@ -84,9 +85,7 @@ def parse_packages(packages: DataFrame) -> DataFrame:
 
 def _structural(trusted: Trusted) -> Column:
     s, r = F.col("s"), F.col("r")
-    broken = lambda c, schema: F.size(
-        conformance_reasons(c, constraints_of(schema))
-    ) > 0
+    broken = lambda c, schema: breaks_schema(c, constraints_of(schema))
     is_object = lambda c: F.try_variant_get(
         F.col(c), "$", "map<string,variant>"
     ).isNotNull()
@@ -332,20 +331,22 @@ def decide(
     repeated: package_id of the packages whose digest is known to be taken; they
     are looked for here if none are given.
     """
-    parsed = parse_packages(packages)
     if repeated is None:
-        repeated = _repeated(parsed.select("package_id", "result_sha256"), accepted_digests)
+        digests = parse_packages(packages).select("package_id", "result_sha256")
+        repeated = materialize(_repeated(digests, accepted_digests))
     repeated = repeated.select("package_id", F.lit(True).alias("duplicate"))
+    # A document grows many times over when it is parsed, so documents are joined as bytes if
+    # the list of repeated ones is long, and parsed ones stay where they are.
+    repeated = F.broadcast(repeated) if small(repeated) else repeated
+    flagged = packages.join(repeated, "package_id", "left")
+    parsed = parse_packages(flagged).withColumn("entry_id", F.col("r")["model"]["registryEntryID"])
     registry = models.select(
         F.col("entry_id"), F.struct(*[c for c in models.columns if c != "entry_id"]).alias("known_model")
     )
-    joined = lookup(
-        parsed.withColumn("entry_id", F.col("r")["model"]["registryEntryID"]),
-        registry,
-        ["entry_id"],
-        "left",
-        ["package_id"],
-    ).join(repeated, "package_id", "left")
+    if small(registry):
+        joined = parsed.join(F.broadcast(registry), "entry_id", "left")
+    else:
+        joined = lookup(parsed, registry, ["entry_id"], "left", ["package_id"])
     duplicate = F.coalesce("duplicate", F.lit(False))
     with_structure = joined.select(
         "*", _structural(trusted).alias("structural"), _digest(duplicate).alias("digest")
