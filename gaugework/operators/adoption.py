@@ -20,13 +20,18 @@ class AdoptionError(ValueError):
     """A release that must not be written, with the first rules it breaks."""
 
 
-def _rows(df: DataFrame, rules: Sequence[tuple[Column, str]], subject: str) -> DataFrame:
-    """(rule, subject, found) for every rule that a row breaks."""
-    broken = F.array_compact(
+def _broken(rules: Sequence[tuple[Column, str]]) -> Column:
+    return F.array_compact(
         F.array(*[F.when(F.coalesce(condition, F.lit(False)), F.lit(rule)) for condition, rule in rules])
     )
+
+
+def _rows(df: DataFrame, rules: Sequence[tuple[Column, str]], subject: str, *earlier: Column) -> DataFrame:
+    """(rule, subject, found) for every rule that a row breaks, those of the arrays `earlier` too."""
     return df.select(
-        F.explode(broken).alias("rule"), F.col(subject).cast("string").alias("subject"), F.lit(1).cast("long").alias("found")
+        F.explode(F.concat(*earlier, _broken(rules))).alias("rule"),
+        F.col(subject).cast("string").alias("subject"),
+        F.lit(1).cast("long").alias("found"),
     )
 
 
@@ -44,14 +49,6 @@ def entry_violations(entries: DataFrame, results: DataFrame, reports: DataFrame)
         F.struct("sha256", "identity_ok", *IDENTITY).alias("raw"),
     )
     report = reports.select("report_path", F.struct("sha256", "errors", *DECISIONS).alias("report"))
-    # Either side takes only what it compares into its shuffle.
-    with_raw = lookup(
-        entries.select("entry_id", "raw_path", "raw_sha256", *IDENTITY), raw, ["raw_path"], "left", ["entry_id"], entries
-    )
-    with_report = lookup(
-        entries.select("entry_id", "report_path", "report_sha256", *DECISIONS),
-        report, ["report_path"], "left", ["entry_id"], entries,
-    )
     there, told = F.col("raw").isNotNull(), F.col("report").isNotNull()
     differs = lambda side, field: F.col(side).isNotNull() & ~F.col(field).eqNullSafe(F.col(side)[field])
     raw_rules = [
@@ -66,7 +63,12 @@ def entry_violations(entries: DataFrame, results: DataFrame, reports: DataFrame)
         (told & (F.size(F.col("report")["errors"]) > 0), "report-pair-invalid"),
         *[(differs("report", f), f"{f.replace('_', '-')}-decision-mismatch") for f in DECISIONS],
     ]
-    return _rows(with_raw, raw_rules, "entry_id").unionByName(_rows(with_report, report_rules, "entry_id"))
+    # What the result is compared with ends here: the second shuffle takes the broken rules instead.
+    judged = lookup(entries, raw, ["raw_path"], "left", ["entry_id"]).select(
+        "entry_id", "report_path", "report_sha256", *DECISIONS, _broken(raw_rules).alias("_rules")
+    )
+    both = lookup(judged, report, ["report_path"], "left", ["entry_id"], entries)
+    return _rows(both, report_rules, "entry_id", F.col("_rules"))
 
 
 def matrix_violations(entries: DataFrame, workloads: Sequence[str], artifacts: int | None = None) -> DataFrame:
