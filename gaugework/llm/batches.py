@@ -77,12 +77,14 @@ def one_row_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(first.alias("__row")).select(key, "__row.*")
 
 
-def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Writes rows once to the folder all executors share and reads them back.
 
-    `compression` is the Parquet codec, the session's by default.
+    `compression` is the Parquet codec, the session's by default;
+    `rows_per_file` the most rows of a file, 0 for any number.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    writer = df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

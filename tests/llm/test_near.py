@@ -1,11 +1,14 @@
 """SimHash, vectors and components against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 import xxhash
 
 from gaugework.llm import queries, simhash, vectors
 from gaugework.llm.components import components
+from gaugework.session import shared_folder
 
 
 def groups(count, links):
@@ -158,3 +161,69 @@ def test_no_vectors(spark):
     only_null = spark.createDataFrame([(1, None), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(only_null).collect()}
     assert got == {1: (0, 1, True), None: (0, None, None)}
+
+
+def on_disk(spark):
+    """Bytes of Spark's own files and of the shared folder."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [str(x) for x in blocks.localDirsString()] + [shared_folder(spark).removeprefix("file:")]
+    return sum(os.path.getsize(f"{d}/{x}") for top in tops for d, _, names in os.walk(top) for x in names)
+
+
+def test_vectors_are_not_copied_to_disk_for_each_unit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 500)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(6000, 64)).astype(np.float32)
+    rows[3000:3300] = rows[:300] + rng.normal(scale=0.05, size=(300, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    before = on_disk(spark)
+    near = vectors.near_vectors(frame)
+    assert near.where("n_links = 1").count() == 600
+    assert near.where("kept").count() == 5700
+    assert on_disk(spark) - before < 4 * rows.nbytes
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.35])
+def test_links_of_two_chunks_and_within_one(noise, monkeypatch):
+    for name, value in (("TILE", 16), ("STEP", 8), ("WIDE", 4), ("MERGED", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=(5, 24))
+    x = middle[rng.integers(5, size=200)] + rng.normal(scale=noise, size=(200, 24)) * rng.choice([0.3, 1], (200, 1))
+    x *= rng.uniform(0.1, 9, (200, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = rng.integers(1, 4, 200)
+    space = vectors.Space(24, unit[::3], 9)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 0 < near.sum() < near.size / 2
+    chunks = [np.arange(200), np.arange(90), np.arange(90, 200)]
+    sides = []
+    for at in chunks:
+        cell = space.cells(x[at])
+        order = np.lexsort((-np.einsum("ij,ij->i", unit[at], space.centres[cell]), cell))
+        sides.append((at[order], vectors.Side(space, x[at][order], cell[order])))
+    for one, two in ((0, 0), (1, 2), (2, 1)):
+        (at, left), (to, right) = sides[one], sides[two]
+        both = at if one == two else np.concatenate([at, to])
+        copies = [n[at]] if one == two else [n[at], n[to]]
+        got = vectors.link_rows(left, x[at], right, x[to], copies, 0.95)
+        inside = near[np.ix_(both, both)].copy()
+        if one != two:
+            inside[: len(at), : len(at)] = inside[len(at) :, len(at) :] = False
+        assert got.count.tolist() == (inside @ n[both]).tolist()
+        assert got.group.tolist() == groups(len(both), np.argwhere(inside).tolist())
+
+
+def test_repeated_vectors_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SEEN", 5)
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    rng = np.random.default_rng(13)
+    base = clustered(rng, 8, 30, 6)
+    rows = [base[i] for i in rng.integers(0, 30, 200)]
+    rows += [[1e300] * 8, [2e300] * 8, [1e-300] * 8, [3.0] * 8, [1e-30] * 8]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(5)
+    scaled = [[x / max(map(abs, v)) for x in v] for v in rows]
+    counts, roots = plain_links(scaled, vectors.COSINE)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).collect()}
+    assert got == {i: (c, r) for i, (c, r) in enumerate(zip(counts, roots))}
